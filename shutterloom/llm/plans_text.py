@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterloom.llm import leakage, tokenizer
+from shutterloom.llm import abuse, leakage, tokenizer
 from shutterloom.session import table
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -26,6 +26,14 @@ def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     return p8_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.toxic_documents(table(spark, folder, "documents"))
+
+
+def p9_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates_by_source(table(spark, folder, "documents"))
+
+
 LEAKS_SQL = """
 WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM benchmark),
 doc_words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
@@ -38,4 +46,4 @@ SQL = {
     "p8_found": LEAKS_SQL + "SELECT doc_id, item_id FROM found",
     "p8_items": LEAKS_SQL + "SELECT item_id, count(*) AS documents FROM found GROUP BY item_id",
 }
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_rates": p9_rates}

@@ -1,2 +1,2 @@
 """Operators for training-data pipelines. Nothing outside this subpackage imports it."""
-PLANS: list[str] = ["shutterloom.llm.plans_text", "shutterloom.llm.plans_vectors", "shutterloom.llm.plans_copies"]
+PLANS: list[str] = [f"shutterloom.llm.plans_{part}" for part in ("text", "vectors", "copies", "scans")]

@@ -31,10 +31,10 @@ from shutterloom.session import cut
 
 #: Vectors that the rotation is learned from, at most.
 SAMPLE = 8192
-BITS = 256
+BITS = 192
 #: Codes in a block, on average.
 BLOCK = 700
-RECALL = 0.995
+RECALL = 0.99
 #: Vectors of a group that one task takes; larger groups are cut into tiles of this size.
 TILE = 6144
 

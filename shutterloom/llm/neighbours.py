@@ -38,9 +38,13 @@ def top_within(ids: np.ndarray, v: np.ndarray, other_ids: np.ndarray, w: np.ndar
         sim[i : i + (1 << 16)] = np.einsum("ij,ij->i", v[x[i : i + (1 << 16)]], w[y[i : i + (1 << 16)]])
     sim = np.round(sim, 6)
     keep = sim >= least
-    out = pd.DataFrame({"id": ids[x[keep]], "other": other_ids[y[keep]], "sim": sim[keep]})
-    out = out.sort_values(["id", "sim", "other"], ascending=[True, False, True])
-    return out[out.groupby("id").cumcount() < k]
+    x, other, sim = x[keep], other_ids[y[keep]], sim[keep]
+    order = np.lexsort((other, -sim, x))
+    x, other, sim = x[order], other[order], sim[order]
+    first = np.r_[True, x[1:] != x[:-1]] if len(x) else np.zeros(0, bool)
+    place = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
+    keep = place < k
+    return pd.DataFrame({"id": ids[x[keep]], "other": other[keep], "sim": sim[keep]})
 
 
 def nearest(rows: DataFrame, width: int, k: int = 5, least: float = 0.9) -> DataFrame:

@@ -215,5 +215,9 @@ def similar_groups(rows: DataFrame, width: int, cosine: float, design_cosine: fl
 
 def gather(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """ids (ascending, each once) and unit vectors of the rows of a group."""
-    pdf = pdf.sort_values(["id", "vec"]).drop_duplicates("id")
-    return pdf["id"].to_numpy(np.int64), unit(np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, width))
+    ids = pdf["id"].to_numpy(np.int64)
+    order = np.argsort(ids, kind="stable")
+    if (ids[order[1:]] == ids[order[:-1]]).any():
+        order = pdf.reset_index(drop=True).sort_values(["id", "vec"]).drop_duplicates("id").index.to_numpy()
+    v = np.frombuffer(b"".join(pdf["vec"]), np.float32).reshape(-1, width)
+    return ids[order], unit(v[order])

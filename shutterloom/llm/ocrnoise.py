@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.llm import ocrlines
 from shutterloom.llm.boosting import Boosted
-from shutterloom.session import cut
+from shutterloom.session import cut, written
 
 SAMPLE = 20_000
 #: A correction is at least so many times as frequent as the word, and occurs at least so often.
@@ -66,9 +66,14 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return one.unionByName(joined).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "capital", "inside")])
 
 
-def _grams(size: int):
-    padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.length("word") + 3 - size), lambda i: F.substring(padded, i, size))
+def _q(length):
+    """The q-gram length for a word: so that a change of two characters leaves its first or its last q-gram."""
+    return F.when(length <= 4, 2).when(length <= 7, 3).otherwise(4)
+
+
+def _ends(size: int):
+    """The first and the last q-gram, the word's border included."""
+    return F.array(F.concat(F.lit("^"), F.left("word", F.lit(size - 1))), F.concat(F.right("word", F.lit(size - 1)), F.lit("$")))
 
 
 def confusion(word: str, right: str) -> tuple[str, str]:
@@ -82,20 +87,23 @@ def confusion(word: str, right: str) -> tuple[str, str]:
     return right[i : len(right) - j], word[i : len(word) - j]
 
 
-def candidates(words: DataFrame) -> DataFrame:
-    """word, right, n, m, capital, inside, good, bad: candidates right of each word, m their counts; good -> bad the confusion (at most 2 characters each)."""
-    usable = words.where(F.length("word").between(SHORTEST, 64) & F.col("word").rlike(r"\p{L}"))
+def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
+    """word, right, n, m, capital, inside, good, bad: candidates right (of ``known``) of each word, m their counts; good -> bad
+    the confusion (at most 2 characters each).
+
+    The inverted index holds the q-grams at either end of a word, for which a word with one changed part must agree with
+    its correction at one end at least; q grows with the length, so the lists stay short."""
     length = F.length("word")
-    query = usable.withColumn("q", F.when(length <= 5, 2).otherwise(3))
-    query = query.select("word", "n", "capital", "inside", F.explode(F.array_distinct(F.when(F.col("q") == 2, _grams(2)).otherwise(_grams(3)))).alias("gram"))
-    known = usable.where((F.col("n") >= KNOWN) & ~F.col("word").rlike(r"\d")).select(F.col("word"), F.col("n").alias("m"))
-    short = known.where(length <= 6).select(F.col("word").alias("right"), "m", F.explode(F.array_distinct(_grams(2))).alias("gram"))
-    long = known.where(length >= 5).select(F.col("word").alias("right"), "m", F.explode(F.array_distinct(_grams(3))).alias("gram"))
-    index = short.unionByName(long)
+    readable = (length.between(SHORTEST, 64)) & F.col("word").rlike(r"\p{L}")
+    ends = F.when(_q(length) == 2, _ends(2)).when(_q(length) == 3, _ends(3)).otherwise(_ends(4))
+    query = words.where(readable).select("word", "n", "capital", "inside", F.explode(ends).alias("gram"))
+    fits = lambda size: (_q(length - 1) == size) | (_q(length) == size) | (_q(length + 1) == size)
+    no = F.array().cast("array<string>")
+    grams = F.concat(*[F.when(fits(size), _ends(size)).otherwise(no) for size in (2, 3, 4)])
+    trusted = known.where(readable & (F.col("n") >= KNOWN) & ~F.col("word").rlike(r"\d"))
+    index = trusted.select(F.col("word").alias("right"), F.col("n").alias("m"), F.explode(F.array_distinct(grams)).alias("gram"))
     near = (F.abs(F.length("word") - F.length("right")) <= 1) & (F.col("m") >= MARGIN * F.greatest("n", F.lit(1))) & (F.col("word") != F.col("right"))
-    pairs = query.join(index, "gram").where(near).groupBy("word", "right").agg(F.count("*").alias("shared"), *[F.first(c).alias(c) for c in ("n", "m", "capital", "inside")])
-    # a changed part of up to two characters leaves at least this many q-grams
-    pairs = pairs.where(F.col("shared") >= F.greatest(F.lit(1), F.length("word") - 4))
+    pairs = query.join(index, "gram").where(near)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +112,7 @@ def candidates(words: DataFrame) -> DataFrame:
             columns = [*batch.columns, pa.array([g for g, _ in parts], pa.string()), pa.array([b for _, b in parts], pa.string())]
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["word", "right", "n", "m", "capital", "inside", "good", "bad"])
 
-    return pairs.select("word", "right", "n", "m", "capital", "inside").mapInArrow(differ, "word string, right string, n long, m long, capital long, inside long, good string, bad string")
+    return pairs.select("word", "right", "n", "m", "capital", "inside").mapInArrow(differ, "word string, right string, n long, m long, capital long, inside long, good string, bad string").distinct()
 
 
 FEATURES = ("support", "reverse", "ratio", "n", "length", "mixed", "inside", "shift")
@@ -160,15 +168,21 @@ def train_ranker(pairs: DataFrame, words: DataFrame, seed: int = 11) -> Boosted:
 
 def corrections(words: DataFrame) -> DataFrame:
     """word, correction, start (place of the misread character in the word)."""
-    pairs = cut(supported(candidates(words)))
-    model = train_ranker(pairs, words)
+    name = F.col("inside") * 2 > F.col("n")  # mostly in capitals among small letters: a name, which no corpus can correct
+    pairs = written(supported(candidates(words.where(~name), words)))
+    # names teach the ranker what is no misreading
+    names = words.where(name).orderBy(F.xxhash64("word"), "word").limit(SAMPLE // 4)
+    support = pairs.select("good", "bad", "support", "reverse").distinct()
+    lessons = candidates(names, words).join(support, ["good", "bad"], "left").fillna({"support": 0, "reverse": 0}).select(*pairs.columns)
+    model = train_ranker(pairs.unionByName(lessons), words)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             yield pd.DataFrame({"word": t["word"], "right": t["right"], "m": t["m"], "support": t["support"], "start": [next((i for i, (a, b) in enumerate(zip(w, r)) if a != b), min(len(w), len(r))) for w, r in zip(t["word"], t["right"])], "score": model.predict(features(t))})
 
-    scored = pairs.mapInPandas(rank, "word string, right string, m long, support long, start int, score double").where("score >= 0.5")
-    best = scored.groupBy("word").agg(F.max(F.struct("support", "score", "m", "right", "start")).alias("b"))
+    # a confusion that one pair alone shows is no evidence
+    scored = pairs.where("support >= 2 OR reverse > 0").mapInPandas(rank, "word string, right string, m long, support long, start int, score double")
+    best = scored.where("score >= 0.5").groupBy("word").agg(F.max(F.struct("support", "score", "m", "right", "start")).alias("b"))
     return best.select("word", F.col("b.right").alias("correction"), F.col("b.start").alias("start"))
 
 
@@ -226,10 +240,10 @@ def _texts(recognised: DataFrame) -> DataFrame:
 
 def _decisions(recognised: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parsed rows, decided joins, and (asset_id, line, word, correction) of the misread words."""
-    rows = cut(parsed(_texts(recognised)))
-    words = cut(vocabulary(rows))
+    rows = written(parsed(_texts(recognised)))
+    words = written(vocabulary(rows))
     fixes = cut(corrections(words))
-    joins = cut(decided_joins(rows, words, fixes))
+    joins = written(decided_joins(rows, words, fixes))
     single = rows.where("kind = 'W'").select("asset_id", "line", "word", F.lower("word").alias("low"))
     pieces = joins.where(~F.col("is_join")).select("asset_id", F.explode(F.array(F.struct("line", F.col("left").alias("word")), F.struct(F.col("next").alias("line"), F.col("right").alias("word")))).alias("p"))
     pieces = pieces.select("asset_id", "p.line", F.explode(F.split("p.word", "-")).alias("word")).withColumn("low", F.lower("word"))

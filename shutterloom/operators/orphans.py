@@ -111,7 +111,7 @@ def _range_orphans(bits: int):
                 if len(bitmap):
                     out.append(pd.DataFrame({"src_table": table, "asset_id": bitmap.offsets() + base, "reason": reason, "month": None if pd.isna(month) else month}))
         columns = ["src_table", "asset_id", "reason", "month"]
-        return pd.concat(out)[columns].astype({"month": "Int64"}) if out else pd.DataFrame({c: [] for c in columns}).astype({"asset_id": "int64", "month": "Int64"})
+        return pd.concat(out)[columns].astype({"src_table": object, "reason": object, "month": "Int64"}) if out else pd.DataFrame({c: [] for c in columns}).astype({"src_table": object, "reason": object, "asset_id": "int64", "month": "Int64"})
 
     return run
 

@@ -44,8 +44,9 @@ def windowed_rate(events: DataFrame, seconds: int = 5, late: str = "1 minute") -
     return events.withWatermark("ts", late).groupBy(window, "event_type").agg(F.count("*").alias("items"), (F.count("*") / seconds).alias("rate"))
 
 
-def unchanged_filter(stream: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """Drops files already seen with the same fingerprint; what is known of a path is forgotten after a day without it."""
+def unchanged_filter(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Drops files already seen with the same fingerprint. With a time to live, which needs a continuous trigger, what is
+    known of a path is forgotten after so long without it."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -65,10 +66,11 @@ def unchanged_filter(stream: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataF
                 yield pd.DataFrame(rows, columns=["path", "source_modified_ns", "source_size"])
         if known is not None:
             state.update(known)
-            state.setTimeoutDuration(ttl_ms)
+            if ttl_ms is not None:
+                state.setTimeoutDuration(ttl_ms)
 
     return (
         stream.select("path", "source_modified_ns", "source_size")
         .groupBy("path")
-        .applyInPandasWithState(run, "path string, source_modified_ns long, source_size long", "ns long, size long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(run, "path string, source_modified_ns long, source_size long", "ns long, size long", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
     )

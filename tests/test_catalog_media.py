@@ -171,7 +171,7 @@ PNG = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR\x00\x00\x00\x07\x00\x00\x00\x05"
 
 def test_walk_and_probe(spark, tmp_path):
     (tmp_path / ".cache").mkdir()
-    for name, data in (("a.gif", GIF), ("b.PNG", PNG), ("c.txt", b"x"), (".cache/d.png", PNG), ("e.jpg", b"")):
+    for name, data in (("a.gif", GIF), ("b.PNG", PNG), ("c.txt", b"x"), (".cache/d.png", PNG), ("e.jpg", b"x")):
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r for r in files.probe(files.walk(spark, str(tmp_path), contents=True)).collect()}
     assert set(got) == {"a.gif", "b.PNG", "e.jpg"}

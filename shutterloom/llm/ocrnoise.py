@@ -169,11 +169,12 @@ def train_ranker(pairs: DataFrame, words: DataFrame, seed: int = 11) -> Boosted:
 def corrections(words: DataFrame) -> DataFrame:
     """word, correction, start (place of the misread character in the word)."""
     name = F.col("inside") * 2 > F.col("n")  # mostly in capitals among small letters: a name, which no corpus can correct
-    pairs = written(supported(candidates(words.where(~name), words)))
+    usual = words.where(~name)
+    pairs = written(supported(candidates(usual, usual)))
     # names teach the ranker what is no misreading
     names = words.where(name).orderBy(F.xxhash64("word"), "word").limit(SAMPLE // 4)
     support = pairs.select("good", "bad", "support", "reverse").distinct()
-    lessons = candidates(names, words).join(support, ["good", "bad"], "left").fillna({"support": 0, "reverse": 0}).select(*pairs.columns)
+    lessons = candidates(names, usual).join(support, ["good", "bad"], "left").fillna({"support": 0, "reverse": 0}).select(*pairs.columns)
     model = train_ranker(pairs.unionByName(lessons), words)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ def labelled(hits: DataFrame, key: str, position: int, weight: float = 1.0) -> D
     return hits.select("asset_id", "rank", snippet.alias("snippet"), time.alias("timestamp_ms"), F.lit(key).alias("key"), F.lit(position).alias("position"), F.lit(float(weight)).alias("weight"))
 
 
-def fuse(lists: list[DataFrame], k: float = K, limit: int | None = None) -> DataFrame:
+def fuse(lists: list[DataFrame], k: float = K, limit: int = 250_000) -> DataFrame:
     """rank, asset_id, score (sum of weight / (k + rank)), first snippet in request order, first known time, sources in order."""
     rows = reduce(DataFrame.unionByName, lists)
     order = F.col("position")
@@ -29,6 +29,6 @@ def fuse(lists: list[DataFrame], k: float = K, limit: int | None = None) -> Data
         F.array_sort(F.collect_list(F.struct("position", "key", "rank"))).alias("sources"),
     )
     fused = fused.withColumn("sources", F.transform("sources", lambda s: F.struct(s["key"].alias("key"), s["rank"].alias("rank"))))
-    top = fused.orderBy(F.desc(F.round("score", 12)), "asset_id")
-    top = top.limit(limit) if limit is not None else top
+    # the rank is dealt over the rows of the limit only, so its one window stays bounded
+    top = fused.orderBy(F.desc(F.round("score", 12)), "asset_id").limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "asset_id")))

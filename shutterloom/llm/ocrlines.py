@@ -31,6 +31,8 @@ CUT = re.compile(rf"(?P<left>[^\W\d_]+(?:[-'’][^\W\d_]+)*|(?=[^\W_]*\d)[^\W_]+
 HEAD = re.compile(r"\s*(?P<right>[^\W_]+(?:-[^\W_]+)*)")
 WORD = re.compile(r"[^\W_]+")
 COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
+#: After it a capital tells nothing: the end of a sentence, or a gap that sets parts of a line apart.
+BREAK = re.compile(r"[.!?:…]|\s{2,}|\t")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 LOOKS = str.maketrans("0159", "olsg")
 
@@ -185,7 +187,7 @@ class Word(NamedTuple):
 def parse(content: str) -> tuple[dict[int, set[str]], list[Join], list[Word], list[str]]:
     """Furniture, words that may go on in the next line of text, other words, and compounds with a hyphen. Line indexes from 0.
 
-    inside: a capital after a word in small letters, as names have it."""
+    inside: a capital after a word in small letters, as names have it, in the same sentence and part of the line."""
     lines = content.split("\n")
     found = furniture(lines)
     body = [i for i, line in enumerate(lines) if line.strip() and i not in found]
@@ -201,10 +203,11 @@ def parse(content: str) -> tuple[dict[int, set[str]], list[Join], list[Word], li
     compounds: list[str] = []
     for i, line in enumerate(lines):
         start, end = cut_start.get(i, 0), cut_end.get(i, len(line))
-        before_small = False
+        before_small, last = False, start
         for m in WORD.finditer(line, start, max(start, end)):
             w = m.group()
-            words.append(Word(i, w, w[0].isupper(), before_small and w[0].isupper()))
-            before_small = w[0].islower()
+            capital = w[0].isupper()
+            words.append(Word(i, w, capital, capital and before_small and not BREAK.search(line, last, m.start())))
+            before_small, last = w[0].islower(), m.end()
         compounds += [c.lower() for c in COMPOUND.findall(line[start : max(start, end)])]
     return found, joins, words, compounds

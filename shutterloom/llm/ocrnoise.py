@@ -88,8 +88,8 @@ def confusion(word: str, right: str) -> tuple[str, str]:
 
 
 def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
-    """word, right, n, m, capital, inside, good, bad: candidates right (of ``known``) of each word, m their counts; good -> bad
-    the confusion (at most 2 characters each).
+    """word, right, n, m, capital, inside, named, good, bad: candidates right (of ``known``) of each word, m their counts,
+    named their share inside; good -> bad the confusion (at most 2 characters each).
 
     The inverted index holds the q-grams at either end of a word, for which a word with one changed part must agree with
     its correction at one end at least; q grows with the length, so the lists stay short."""
@@ -101,7 +101,7 @@ def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     no = F.array().cast("array<string>")
     grams = F.concat(*[F.when(fits(size), _ends(size)).otherwise(no) for size in (2, 3, 4)])
     trusted = known.where(readable & (F.col("n") >= KNOWN) & ~F.col("word").rlike(r"\d"))
-    index = trusted.select(F.col("word").alias("right"), F.col("n").alias("m"), F.explode(F.array_distinct(grams)).alias("gram"))
+    index = trusted.select(F.col("word").alias("right"), F.col("n").alias("m"), (F.col("inside") / F.col("n")).alias("named"), F.explode(F.array_distinct(grams)).alias("gram"))
     near = (F.abs(F.length("word") - F.length("right")) <= 1) & (F.col("m") >= MARGIN * F.greatest("n", F.lit(1))) & (F.col("word") != F.col("right"))
     pairs = query.join(index, "gram").where(near)
 
@@ -110,12 +110,13 @@ def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
             parts = [confusion(w, r) for w, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             keep = pa.array([len(g) <= 2 and len(b) <= 2 and len(b) > 0 for g, b in parts], pa.bool_())
             columns = [*batch.columns, pa.array([g for g, _ in parts], pa.string()), pa.array([b for _, b in parts], pa.string())]
-            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["word", "right", "n", "m", "capital", "inside", "good", "bad"])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["word", "right", "n", "m", "capital", "inside", "named", "good", "bad"])
 
-    return pairs.select("word", "right", "n", "m", "capital", "inside").mapInArrow(differ, "word string, right string, n long, m long, capital long, inside long, good string, bad string").distinct()
+    pairs = pairs.where(F.levenshtein("word", "right", 2) >= 0)  # two characters each are a distance of two at most
+    return pairs.select("word", "right", "n", "m", "capital", "inside", "named").mapInArrow(differ, "word string, right string, n long, m long, capital long, inside long, named double, good string, bad string").distinct()
 
 
-FEATURES = ("support", "reverse", "ratio", "n", "length", "mixed", "inside", "shift")
+FEATURES = ("support", "reverse", "ratio", "n", "length", "mixed", "inside", "named", "shift")
 
 
 def features(t: pd.DataFrame) -> np.ndarray:
@@ -124,7 +125,7 @@ def features(t: pd.DataFrame) -> np.ndarray:
     word = t["word"].astype(str)
     mixed = word.str.contains(r"\d") & word.str.contains(r"[^\W\d_]")
     shift = t["bad"].str.len() - t["good"].str.len()
-    return np.stack([np.log1p(t["support"].to_numpy(float)), np.log1p(t["reverse"].to_numpy(float)), np.log(t["m"].to_numpy(float) / n), np.log(n), word.str.len().to_numpy(float), mixed.to_numpy(float), (t["inside"].to_numpy(float) / n), shift.to_numpy(float)], 1)
+    return np.stack([np.log1p(t["support"].to_numpy(float)), np.log1p(t["reverse"].to_numpy(float)), np.log(t["m"].to_numpy(float) / n), np.log(n), word.str.len().to_numpy(float), mixed.to_numpy(float), (t["inside"].to_numpy(float) / n), t["named"].to_numpy(float), shift.to_numpy(float)], 1)
 
 
 def supported(pairs: DataFrame) -> DataFrame:
@@ -141,41 +142,39 @@ def supported(pairs: DataFrame) -> DataFrame:
 
 
 def train_ranker(pairs: DataFrame, words: DataFrame, seed: int = 11) -> Boosted:
-    """From words misread on purpose with the corpus's own confusions, and from pairs of words that are both right."""
+    """From words misread on purpose with the corpus's own confusions, and from pairs of words that are both right.
+
+    A misread word stands in capitals as often as its correction does. A capitalised word whose candidate mostly does not,
+    differs by no confusion of the corpus or is no 20 times as frequent is a name; of others like a name nothing is taught."""
     rng = np.random.default_rng(seed)
     confusions = pairs.groupBy("good", "bad").agg(F.max("support").alias("support"), F.max("reverse").alias("reverse")).where("support >= 3").orderBy(F.desc("support"), "good", "bad").limit(200).toPandas()
     by_hash = [F.xxhash64("word"), "word"]
-    frequent = words.where((F.col("n") >= 8) & (F.length("word") >= SHORTEST) & F.col("word").rlike(r"^\p{L}+$") & (F.col("inside") * 2 < F.col("n"))).orderBy(*by_hash).limit(SAMPLE // 8).toPandas()
+    frequent = words.where((F.col("n") >= 8) & (F.length("word") >= SHORTEST) & F.col("word").rlike(r"^\p{L}+$")).orderBy(*by_hash).limit(SAMPLE // 8).toPandas()
     rows = []
     top = confusions["support"].max() if len(confusions) else 0
     plausible = confusions[confusions["support"] >= max(3.0, 0.01 * top)]
     ways = [(g, b, s, r) for g, b, s, r in zip(plausible["good"], plausible["bad"], plausible["support"], plausible["reverse"])]
     ways += [(b, g, int(rng.integers(1, 4)), s) for g, b, s, _ in ways if len(g) + len(b) > 2 and s >= 0.05 * top]
-    for w, m in zip(frequent["word"], frequent["n"]):
+    for w, m, inside in zip(frequent["word"], frequent["n"], frequent["inside"]):
         fit = [(g, b, s, r) for g, b, s, r in ways if g and g in w]
         for g, b, s, r in (fit[i] for i in rng.permutation(len(fit))[:4]):
             n = max(1, round(m * np.exp(rng.uniform(np.log(5e-4), np.log(3e-2)))))
             if m >= MARGIN * n:
-                rows.append((w.replace(g, b, 1), w, n, m, 0, 0, g, b, s, r, 1))
-    right = pairs.where((F.col("inside") > 0) | (F.col("n") * 12 > F.col("m"))).orderBy(*by_hash, "right").limit(SAMPLE // 2).toPandas()
-    rows += [(r.word, r.right, r.n, r.m, r.capital, r.inside, r.good, r.bad, r.support, r.reverse, 0) for r in right.itertuples()]
+                rows.append((w.replace(g, b, 1), w, n, m, 0, int(rng.binomial(n, inside / m)), inside / m, g, b, s, r, 1))
+    strange = (F.col("named") < 0.5) | (F.col("support") < max(3.0, 0.01 * top)) | (F.col("m") < 20 * F.col("n"))
+    right = pairs.where((F.col("inside") * 2 > F.col("n")) & strange | (F.col("n") * 12 > F.col("m"))).orderBy(*by_hash, "right").limit(SAMPLE // 2).toPandas()
+    rows += [(r.word, r.right, r.n, r.m, r.capital, r.inside, r.named, r.good, r.bad, r.support, r.reverse, 0) for r in right.itertuples()]
     # the same confusions do not occur: pairs of frequent words, one of them counted as rare
     for r in right[right["n"] * 12 > right["m"]].itertuples():
-        rows.append((r.word, r.right, max(1, r.n // 8), r.m, r.capital, r.inside, r.good, r.bad, min(r.support, 2), 0, 0))
-    t = pd.DataFrame(rows, columns=["word", "right", "n", "m", "capital", "inside", "good", "bad", "support", "reverse", "y"])
+        rows.append((r.word, r.right, max(1, r.n // 8), r.m, r.capital, r.inside, r.named, r.good, r.bad, min(r.support, 2), 0, 0))
+    t = pd.DataFrame(rows, columns=["word", "right", "n", "m", "capital", "inside", "named", "good", "bad", "support", "reverse", "y"])
     return Boosted().fit(features(t), t["y"].to_numpy(float))
 
 
 def corrections(words: DataFrame) -> DataFrame:
     """word, correction, start (place of the misread character in the word)."""
-    name = F.col("inside") * 2 > F.col("n")  # mostly in capitals among small letters: a name, which no corpus can correct
-    usual = words.where(~name)
-    pairs = written(supported(candidates(usual, usual)))
-    # names teach the ranker what is no misreading
-    names = words.where(name).orderBy(F.xxhash64("word"), "word").limit(SAMPLE // 4)
-    support = pairs.select("good", "bad", "support", "reverse").distinct()
-    lessons = candidates(names, usual).join(support, ["good", "bad"], "left").fillna({"support": 0, "reverse": 0}).select(*pairs.columns)
-    model = train_ranker(pairs.unionByName(lessons), words)
+    pairs = written(supported(written(candidates(words, words))))
+    model = train_ranker(pairs, words)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:

@@ -53,7 +53,7 @@ def nearest(rows: DataFrame, width: int, k: int = 5, least: float = 0.9) -> Data
     rows has the columns id (long) and embedding (array<float>)."""
     if k != 5:
         raise ValueError("lists of five are what the classes of equal vectors are kept for")
-    groups, rotation = vectors.similar_groups(rows, width, least, max(least, 0.93))
+    groups, rotation = vectors.similar_groups(rows, width, least)
     full = vectors.with_codes(rows, width, rotation, vectors=True)
     tile = vectors.TILE
     joined = full.join(groups, ["code", "vhash"])

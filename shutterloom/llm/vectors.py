@@ -4,12 +4,13 @@
    into a binary code. Equal codes are one class from here on, so copies and scaled copies don't multiply.
 2. The code is split into substrings, each of them an index. Codes that share a substring meet in a block; by the
    pigeonhole principle that is every pair within Hamming distance ``tables - 1`` on the indexed bits, and a pair at
-   the design angle with probability ``RECALL``. In a block, codes within the Hamming radius are linked, and only
+   the threshold with probability ``RECALL``. Where the code has too few bits for that, more are taken for the index
+   alone. In a block, codes within the Hamming radius are linked, and only
    stars (member, smallest member) leave it: no pair lists.
 3. The stars are contracted to groups. Each vector is then shuffled to its group once, and the exact floats decide.
 
-The substring length follows the number of codes, and the number of substrings follows the length, so blocks keep
-their size and recall at any scale. Large groups are cut into tiles. A vector is usable if it is not null, has the
+The substring length follows the number of codes, and the number of substrings follows the length and the threshold, so
+blocks keep their size and recall at any scale; what grows is the number of substrings. Large groups are cut into tiles. A vector is usable if it is not null, has the
 declared width, only finite numbers and not only zeros; others are left out, repeated rows count once, of different
 vectors under one id the one with the smallest bytes holds.
 """
@@ -91,12 +92,20 @@ def radius(cosine: float, bits: int) -> int:
     return int(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
 
 
-def plan_tables(codes: int, design_cosine: float, bits: int = BITS) -> tuple[int, int]:
-    """(substring length, substrings) for a number of codes."""
+def plan_tables(codes: int, cosine: float) -> tuple[int, int]:
+    """(substring length, substrings) for a number of codes, so that a pair of this cosine shares one with RECALL."""
     length = max(2, min(24, round(math.log2(max(codes, 1) / BLOCK)))) if codes > BLOCK else 2
-    together = (1 - math.acos(design_cosine) / math.pi) ** length
+    together = (1 - math.acos(cosine) / math.pi) ** length
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - together))
-    return length, max(3, min(tables, bits // length))
+    return length, max(3, tables)
+
+
+def substring_keys(code: np.ndarray, more: np.ndarray, length: int, tables: int) -> Iterator[np.ndarray]:
+    """The keys of each substring of the codes and the bits beyond them (rows of uint8)."""
+    bits = np.unpackbits(np.concatenate([code, more], 1), axis=1, bitorder="little")
+    weight = 1 << np.arange(length, dtype=np.int64)
+    for t in range(tables):
+        yield bits[:, t * length : (t + 1) * length].astype(np.int64) @ weight + (t << length)
 
 
 def _hash(v: np.ndarray) -> list[int]:
@@ -104,17 +113,19 @@ def _hash(v: np.ndarray) -> list[int]:
 
 
 def with_codes(rows: DataFrame, width: int, rotation: np.ndarray, vectors: bool) -> DataFrame:
-    """id, code, vhash and, if wanted, vec (float32 bytes) of the usable rows. rows has the columns id, embedding."""
+    """id, code, vhash and either vec (float32 bytes) or more (the rotation's bits beyond the code) of the usable rows.
+
+    rows has the columns id, embedding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, v = usable_rows(batch.column(1), width)
-            columns = [batch.column(0).take(pa.array(at)), pa.array([c.tobytes() for c in encode(v, rotation)] if len(v) else [], pa.binary()), pa.array(_hash(v), pa.int64())]
-            if vectors:
-                columns.append(pa.array([r.tobytes() for r in v], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "vhash", "vec"][: len(columns)])
+            columns = [batch.column(0).take(pa.array(at)), pa.array([c.tobytes() for c in encode(v, rotation[:, :BITS])], pa.binary()), pa.array(_hash(v), pa.int64())]
+            last = v if vectors else encode(v, rotation[:, BITS:])
+            columns.append(pa.array([r.tobytes() for r in last], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "vhash", "vec" if vectors else "more"])
 
-    return rows.mapInArrow(run, "id long, code binary, vhash long" + ", vec binary" * vectors)
+    return rows.mapInArrow(run, "id long, code binary, vhash long, " + ("vec binary" if vectors else "more binary"))
 
 
 def link_block(codes: np.ndarray, most: int) -> np.ndarray:
@@ -178,29 +189,29 @@ def learned_from(rows: DataFrame, width: int, bits: int = BITS) -> np.ndarray:
     return learn_rotation(v, bits)
 
 
-def similar_groups(rows: DataFrame, width: int, cosine: float, design_cosine: float) -> tuple[DataFrame, np.ndarray]:
+def similar_groups(rows: DataFrame, width: int, cosine: float) -> tuple[DataFrame, np.ndarray]:
     """(code, vhash, label, size, sixth) of the classes of equal vectors that belong to a group of two or more; the rotation.
 
     size is the number of vectors in the group; sixth the sixth smallest id of a class of more than six equal vectors."""
-    rotation = learned_from(rows, width)
+    length, tables = plan_tables(rows.agg(F.approx_count_distinct(F.xxhash64("embedding"))).first()[0], cosine)
+    rotation = learned_from(rows, width, max(BITS, -(-length * tables // 8) * 8))
     coded = with_codes(rows, width, rotation, vectors=False)
-    equal = coded.groupBy("code", "vhash").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    equal = coded.groupBy("code", "vhash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("more").alias("more"))
     equal = cut(equal)
     classes = equal.groupBy("code").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"))
-    length, tables = plan_tables(equal.count(), design_cosine)
+    # equal codes share their first substring, so that those with other bits beyond are linked too
+    entries = equal.groupBy("code", "more").agg(F.min("rep").alias("rep"))
 
     def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(n, -1), axis=1, bitorder="little")
-            weight = 1 << np.arange(length, dtype=np.int64)
-            for t in range(tables):
-                key = bits[:, t * length : (t + 1) * length].astype(np.int64) @ weight + (t << length)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], names=["key", "code", "rep"])
+            code, more = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(n, -1) for k in (0, 1))
+            for key in substring_keys(code, more, length, tables):
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(2)], names=["key", "code", "rep"])
 
-    blocks = classes.select("code", "rep").mapInArrow(substrings, "key long, code binary, rep long")
+    blocks = entries.select("code", "more", "rep").mapInArrow(substrings, "key long, code binary, rep long")
     stars = blocks.groupBy("key").applyInPandas(_stars(radius(cosine, BITS)), "a long, b long").distinct()
     groups = components(stars)
     labelled = classes.join(groups, classes.rep == groups.node, "left").select("code", "n", F.coalesce("label", "rep").alias("label"))
@@ -208,9 +219,9 @@ def similar_groups(rows: DataFrame, width: int, cosine: float, design_cosine: fl
     by_code = labelled.select("code", "label").join(sizes, "label")
     many = equal.where("n > 6").select("code", "vhash")
     rank = F.row_number().over(Window.partitionBy("code", "vhash").orderBy("id"))
-    ids = coded.join(many, ["code", "vhash"]).distinct().withColumn("rank", rank).where("rank <= 6")
+    ids = coded.drop("more").join(many, ["code", "vhash"]).distinct().withColumn("rank", rank).where("rank <= 6")
     sixth = ids.where("rank = 6").select("code", "vhash", F.col("id").alias("sixth"))
-    return cut(equal.select("code", "vhash").join(by_code, "code").join(sixth, ["code", "vhash"], "left")), rotation
+    return cut(equal.select("code", "vhash").join(by_code, "code").join(sixth, ["code", "vhash"], "left")), rotation[:, :BITS]
 
 
 def gather(pdf: pd.DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:

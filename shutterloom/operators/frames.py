@@ -8,23 +8,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shutterloom.functions.vectors import dot
+from shutterloom.session import cut, written
 
 SAME_FRAME = 0.95
+#: Frames of a large asset that are compared with as many kept ones in one task.
+TILE = 8192
 ROW_TOLERANCE = 10.0
 
 
+def _directions(embeddings: pd.Series) -> np.ndarray:
+    """Rows of length 1 in float64; zeros stay."""
+    v = np.stack(embeddings.to_numpy()).astype(np.float64)
+    length = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+
 def distinct_frames(samples: DataFrame, threshold: float = SAME_FRAME, most: int = 100_000) -> DataFrame:
     """The samples of each asset that are, in time order, below the threshold to every one kept before.
 
-    A group is one asset's frames; an asset with more than ``most`` usable ones is refused rather than cut."""
+    A group is one asset's frames. An asset with more than ``most`` is taken in blocks of ``most`` in time order: what is
+    like a frame kept in an earlier block goes, in tiles, and the rest is a group; what it keeps is written."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError("too many frames of one asset")
+    def kept_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["timestamp_ms", "embedding_id"], na_position="first")
-        v = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        length = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+        v = _directions(pdf["embedding"])
         kept = np.zeros_like(v)
         n, keep = 0, []
         for i, row in enumerate(v):
@@ -32,9 +39,47 @@ def distinct_frames(samples: DataFrame, threshold: float = SAME_FRAME, most: int
                 kept[n] = row
                 n += 1
                 keep.append(i)
-        return pdf.iloc[keep][["asset_id", "embedding_id", "timestamp_ms"]]
+        return pdf.iloc[keep]
 
-    return samples.groupBy("asset_id").applyInPandas(run, "asset_id long, embedding_id long, timestamp_ms long")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return kept_of(pdf)[["asset_id", "embedding_id", "timestamp_ms"]]
+
+    out = "asset_id long, embedding_id long, timestamp_ms long"
+    sizes = cut(samples.groupBy(F.col("asset_id").alias("large")).agg(F.count("*").alias("size")).where(F.col("size") > most))
+    largest = sizes.agg(F.max("size")).first()[0]
+    if largest is None:
+        return samples.groupBy("asset_id").applyInPandas(run, out)
+    same = F.col("asset_id").eqNullSafe(F.col("large"))
+    result = samples.join(sizes, same, "left_anti").groupBy("asset_id").applyInPandas(run, out)
+    place = F.row_number().over(Window.partitionBy("asset_id").orderBy(F.asc_nulls_first("timestamp_ms"), F.asc_nulls_first("embedding_id"))) - 1
+    ranked = samples.join(sizes, same, "left_semi").select("asset_id", "embedding_id", "timestamp_ms", "embedding", place.alias("place"))
+    ranked = written(ranked.withColumns({"block": F.floor(F.col("place") / most).cast("int"), "tile": F.floor(F.col("place") / TILE).cast("int")}))
+    columns = ["asset_id", "embedding_id", "timestamp_ms", "embedding", "place", "tile"]
+    kinds = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in columns)
+
+    def like_kept(key: tuple, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        if new.empty or old.empty:
+            return pd.DataFrame({"asset_id": [], "place": []})
+        w, parts = _directions(old["embedding"]), np.array_split(np.arange(len(new)), -(-len(new) // 1024))
+        v = _directions(new["embedding"])
+        like = np.concatenate([(v[p] @ w.T >= threshold).any(1) for p in parts])
+        return new.loc[like, ["asset_id", "place"]]
+
+    kept: DataFrame | None = None
+    for block in range(-(-largest // most)):
+        new = ranked.where(F.col("block") == block).select(*columns)
+        if kept is not None:
+            tiles = kept.select("asset_id", F.col("tile").alias("other")).distinct()
+            left = new.alias("n").join(tiles.alias("t"), F.expr("n.asset_id <=> t.asset_id"))
+            left = left.select(F.col("n.asset_id").alias("asset_id"), "n.place", "n.embedding", F.col("n.tile").alias("tile"), "t.other")
+            right = new.select("asset_id", F.col("tile").alias("own")).distinct().alias("n").join(kept.alias("k"), F.expr("n.asset_id <=> k.asset_id"))
+            right = right.select(F.col("k.asset_id").alias("asset_id"), "k.embedding", F.col("n.own").alias("tile"), F.col("k.tile").alias("other"))
+            by = ["asset_id", "tile", "other"]
+            gone = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(like_kept, "asset_id long, place long").distinct()
+            new = new.alias("n").join(gone.alias("g"), F.expr("n.asset_id <=> g.asset_id AND n.place = g.place"), "left_anti")
+        now = written(new.groupBy("asset_id").applyInPandas(lambda pdf: kept_of(pdf)[columns], kinds))
+        kept = now if kept is None else kept.unionByName(now)
+    return result.unionByName(kept.select("asset_id", "embedding_id", "timestamp_ms"))
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ A text is folded first: invisible characters go, look-alike letters of other scr
 become Latin letters, spaced or dotted single letters are joined, accents and case go, repeated letters are
 squeezed. Words with one or two masked letters (s*x, id**t) are in the automaton as variants of the words.
 Each sentence is scored: the weights of its terms per category, times a length factor that is 1 up to
-``NORMAL_WORDS`` words and falls with the length beyond (long sentences need more evidence), less what the
-exception phrases cancel. A document has a category if a sentence reaches 1.
+``NORMAL_WORDS`` words and falls with the length beyond, less what the exception phrases cancel. A longer sentence
+has at least the score of each ``NORMAL_WORDS`` words of it that begin with a term, with its own exceptions. A document has a category if a sentence reaches 1.
 
 Only narrow plans: one pass over the documents in Arrow batches, the lexicon travels with the code (a fixed
 size), and the rates per source aggregate map-side first.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -151,11 +152,13 @@ class Lexicon:
                 for m in _masked(w):
                     self._add(" ".join([*(squeeze(x) for x in split[:k]), m, *(squeeze(x) for x in split[k + 1 :])]), (role, folded))
 
-    def sentence(self, folded: str) -> dict[str, float]:
-        """Score by category of a folded sentence."""
+    def sentence(self, folded: str, cancelled: frozenset[str] = frozenset()) -> dict[str, float]:
+        """Score by category of a folded sentence, or of a part of one whose exceptions are ``cancelled``."""
         got: dict[str, set[str]] = {}
         parts: dict[str, int] = {}
-        for end, (_, roles) in self.machine.iter(f" {folded} "):
+        begins: list[int] = []
+        for end, (term, roles) in self.machine.iter(f" {folded} "):
+            begins.append(end - len(term) - 1)
             for role, name in roles:
                 if role == "part":
                     parts.setdefault(name, end)
@@ -174,7 +177,7 @@ class Lexicon:
                 at = parts[p] if parts[p] > at else last
             if ok:
                 got.setdefault(role, set()).add(" * ".join(pieces))
-        cancelled = got.get("exception", set())
+        cancelled = cancelled | got.get("exception", set())
         if "*" in cancelled:
             return {}
         for role in cancelled:
@@ -190,7 +193,14 @@ class Lexicon:
         if hateful >= 1 and not got.get("abusive"):
             abusive = 0.0  # insults there are the attack's own words
         scores = {lexicon.ABUSIVE: abusive, lexicon.HATEFUL: hateful, lexicon.SEXUAL: sexual}
-        return {k: v * factor for k, v in scores.items() if v}
+        scores = {k: v * factor for k, v in scores.items() if v}
+        if factor < 1:
+            blanks = [0, *(i + 1 for i, c in enumerate(folded) if c == " ")]
+            for k in sorted({bisect_left(blanks, b) for b in begins}):
+                end = blanks[k + NORMAL_WORDS] - 1 if k + NORMAL_WORDS < len(blanks) else len(folded)
+                for category, v in self.sentence(folded[blanks[k] : end], cancelled).items():
+                    scores[category] = max(scores.get(category, 0.0), v)
+        return scores
 
     def document(self, text: str | None) -> dict[str, float]:
         """The largest sentence score by category."""

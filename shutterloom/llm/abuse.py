@@ -3,9 +3,10 @@
 A text is folded first: invisible characters go, look-alike letters of other scripts and digits inside words
 become Latin letters, spaced or dotted single letters are joined, accents and case go, repeated letters are
 squeezed. Words with one or two masked letters (s*x, id**t) are in the automaton as variants of the words.
-Each sentence is scored: the weights of its terms per category, times a length factor that is 1 up to
-``NORMAL_WORDS`` words and falls with the length beyond, less what the exception phrases cancel. A longer sentence
-has at least the score of each ``NORMAL_WORDS`` words of it that begin with a term, with its own exceptions. A document has a category if a sentence reaches 1.
+Each sentence is scored: the weights of its different terms are summed per category, as far as each role may give
+(``MOST``), less the terms that exception phrases cancel within ``REACH`` words, and times a length factor that is 1 up to
+``NORMAL_WORDS`` words and falls with the length beyond. A longer sentence has at least the score of each
+``NORMAL_WORDS`` words of it that begin with a term. A document has a category if a sentence reaches 1.
 
 Only narrow plans: one pass over the documents in Arrow batches, the lexicon travels with the code (a fixed
 size), and the rates per source aggregate map-side first.
@@ -18,9 +19,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +30,16 @@ from pyspark.sql import functions as F
 from shutterloom.llm import abuse_lexicon as lexicon
 
 NORMAL_WORDS = 40
+#: Words on either side within which an exception holds.
+REACH = 8
+#: What a role gives at most.
+MOST = {"noun": 1.3, "adjective": 0.5, "threat": 2.0, "violence": 0.4, "body": 0.4, "intent": 0.2, "you": 0.2, "vermin": 0.7, "group": 0.4, "kin": 0.5, "filthy": 0.3, "expel": 1.6, "sexual": 3.0, "nudity": 1.5}
+ROLES = (
+    ("noun", lexicon.NOUN), ("adjective", lexicon.ADJECTIVE), ("threat", lexicon.THREAT), ("violence", lexicon.VIOLENCE), ("body", lexicon.BODY), ("intent", lexicon.INTENT), ("you", lexicon.YOU),
+    ("vermin", lexicon.VERMIN), ("group", lexicon.GROUP), ("kin", lexicon.KIN), ("filthy", lexicon.FILTHY), ("expel", lexicon.EXPEL), ("sexual", lexicon.SEXUAL_TERMS), ("nudity", lexicon.NUDITY),
+)
+#: Roles whose words are masked now and then.
+COARSE = ("noun", "adjective", "threat", "vermin", "sexual", "nudity", "violence", "body", "filthy", "expel")
 CATEGORIES = (lexicon.ABUSIVE, lexicon.HATEFUL, lexicon.SEXUAL)
 
 #: Look-alikes of Latin letters (fixed values).
@@ -54,7 +65,7 @@ def squeeze(word: str) -> str:
 
 @cache
 def _single_words() -> frozenset[str]:
-    return frozenset(squeeze(_plain(w)) for w in [*lexicon.INSULTS, *lexicon.VERMIN, *lexicon.PORN])
+    return frozenset(squeeze(_plain(w)) for role, table in ROLES if role in ("noun", "adjective", "vermin", "sexual", "nudity") for w, _ in lexicon.terms(table) if " " not in w)
 
 
 def _joined(m: re.Match) -> str:
@@ -95,110 +106,127 @@ def _masked(word: str) -> Iterator[str]:
                 yield squeeze(word[:i]) + "*" * n + squeeze(word[i + n :])
 
 
+class Hit(NamedTuple):
+    first: int
+    last: int
+    role: str
+    name: str
+    weight: float
+
+
 class Lexicon:
-    """The automaton: terms bounded by blanks, each with its roles."""
+    """The automaton: terms bounded by blanks, each with its roles and weights."""
 
     def __init__(self):
         import ahocorasick
 
-        self.terms: dict[str, set[tuple[str, str]]] = {}
-        self.words: set[str] = set()
-        for role, words in (("insult", lexicon.INSULTS), ("vermin", lexicon.VERMIN), ("porn", lexicon.PORN)):
-            for w in words:
-                self._word(w, role)
-        parts: set[str] = set()
-        for role, text in (("address", lexicon.ADDRESS), ("abusive", lexicon.ABUSIVE_PHRASES), ("hateful", lexicon.HATEFUL_PHRASES), ("sexual", lexicon.SEXUAL_PHRASES)):
-            for phrase in lexicon.phrases(text):
-                self._phrase(phrase, role)
-        for phrase, cancelled in lexicon.EXCEPTIONS.items():
-            self._add(self._fold(phrase), ("exception", cancelled))
-        self.gapped: list[tuple[tuple[str, ...], str]] = []
-        for role, text in (("abusive", lexicon.ABUSIVE_PHRASES), ("hateful", lexicon.HATEFUL_PHRASES)):
-            for phrase in lexicon.phrases(text):
-                if "*" in phrase:
-                    pieces = tuple(self._fold(p) for p in phrase.split("*"))
-                    self.gapped.append((pieces, role))
-                    parts.update(pieces)
-        for piece in parts:
-            self._add(piece, ("part", piece))
+        self.found: dict[str, dict[tuple[str, str], float]] = {}
+        for role, table in ROLES:
+            for term, weight in lexicon.terms(table):
+                self._term(term, role, weight)
+        for term, _ in lexicon.terms(lexicon.VERMIN):
+            for copula in lexicon.COPULA:
+                self._term(f"{copula} {term}", "vermin", 0.7)
+        for pieces in lexicon.GAPPED:
+            for k, piece in enumerate(pieces):
+                self._add(self._fold(piece), ("gap", f"{k}|{'|'.join(pieces)}"), 0.0)
+        for phrase, roles in lexicon.EXCEPTIONS.items():
+            self._add(self._fold(phrase), ("exception", roles), 0.0)
+        for phrase in lexicon.MENTIONS:
+            self._add(self._fold(phrase), ("mention", ""), 0.0)
+        for phrase in lexicon.REPORTS:
+            self._add(self._fold(phrase), ("report", ""), 0.0)
         self.machine = ahocorasick.Automaton()
-        for term, roles in self.terms.items():
-            self.machine.add_word(f" {term} ", (term, tuple(sorted(roles))))
+        for term, roles in self.found.items():
+            self.machine.add_word(f" {term} ", (term.count(" ") + 1, len(term), tuple((r, n, w) for (r, n), w in sorted(roles.items()))))
         self.machine.make_automaton()
 
     @staticmethod
     def _fold(phrase: str) -> str:
         return " ".join(squeeze(w) for w in _plain(phrase).split())
 
-    def _add(self, term: str, role: tuple[str, str]) -> None:
-        self.terms.setdefault(term, set()).add(role)
-
-    def _word(self, word: str, role: str) -> None:
-        w = _plain(word)
-        self._add(squeeze(w), (role, squeeze(w)))
-        if len(w) > 2:
-            for m in _masked(w):
-                self._add(m, (role, squeeze(w)))
+    def _add(self, term: str, role: tuple[str, str], weight: float) -> None:
+        roles = self.found.setdefault(term, {})
+        roles[role] = max(roles.get(role, 0.0), weight)
 
-    def _phrase(self, phrase: str, role: str) -> None:
-        if "*" in phrase:
+    def _term(self, term: str, role: str, weight: float) -> None:
+        folded = self._fold(term)
+        self._add(folded, (role, folded), weight)
+        if role not in COARSE:
             return
-        folded = self._fold(phrase)
-        self._add(folded, (role, folded))
-        # a masked word inside the phrase
-        split = _plain(phrase).split()
+        split = _plain(term).split()
         for k, w in enumerate(split):
-            if len(w) > 2:
+            if len(w) > 2 and (len(split) == 1 or len(w) > 3 or role == "sexual"):
                 for m in _masked(w):
-                    self._add(" ".join([*(squeeze(x) for x in split[:k]), m, *(squeeze(x) for x in split[k + 1 :])]), (role, folded))
-
-    def sentence(self, folded: str, cancelled: frozenset[str] = frozenset()) -> dict[str, float]:
-        """Score by category of a folded sentence, or of a part of one whose exceptions are ``cancelled``."""
-        got: dict[str, set[str]] = {}
-        parts: dict[str, int] = {}
-        begins: list[int] = []
-        for end, (term, roles) in self.machine.iter(f" {folded} "):
-            begins.append(end - len(term) - 1)
-            for role, name in roles:
-                if role == "part":
-                    parts.setdefault(name, end)
-                    parts[f"\0{name}"] = end
-                else:
-                    got.setdefault(role, set()).add(name)
-        if not got and not parts:
-            return {}
-        for pieces, role in self.gapped:
-            at, ok = -1, True
-            for p in pieces:
-                last = parts.get(f"\0{p}")
-                if last is None or last <= at:
-                    ok = False
-                    break
-                at = parts[p] if parts[p] > at else last
-            if ok:
-                got.setdefault(role, set()).add(" * ".join(pieces))
-        cancelled = cancelled | got.get("exception", set())
-        if "*" in cancelled:
+                    self._add(" ".join([*(squeeze(x) for x in split[:k]), m, *(squeeze(x) for x in split[k + 1 :])]), (role, folded), weight)
+
+    def hits(self, folded: str) -> list[Hit]:
+        """The terms that count, after exceptions, in order of their place. Words are numbered from 0."""
+        found: list[Hit] = []
+        for end, (words, length, roles) in self.machine.iter(f" {folded} "):
+            first = folded.count(" ", 0, max(0, end - length - 1))
+            found += [Hit(first, first + words - 1, r, n, w) for r, n, w in roles]
+        if not any(h.weight or h.role == "gap" for h in found):
+            return []
+        cancels = [(h.first - REACH, h.last + REACH, h.name.split()) for h in found if h.role == "exception"]
+        cancels += [(h.first, h.last + REACH, None) for h in found if h.role == "mention"]
+        cancels += [(h.first - REACH, h.last + REACH, None) for h in found if h.role == "report"]
+        out = []
+        for h in found:
+            if h.role in ("exception", "mention", "report") or any(a <= h.first and h.last <= b and (roles is None or h.role in roles) for a, b, roles in cancels):
+                continue
+            # a term within a longer one of its kind is part of it
+            if h.weight and any(o.role == h.role and o.first <= h.first and h.last <= o.last and o.last - o.first > h.last - h.first for o in found):
+                continue
+            out.append(h)
+        return sorted(out)
+
+    @staticmethod
+    def score(hits: list[Hit]) -> dict[str, float]:
+        """Sums by category of hits that stand near each other."""
+        by_role: dict[str, dict[str, float]] = {}
+        for h in hits:
+            if h.weight:
+                by_role.setdefault(h.role, {})[h.name] = h.weight
+        role = {r: min(MOST[r], sum(names.values())) for r, names in by_role.items()}
+        if not role and not any(h.role == "gap" for h in hits):
             return {}
-        for role in cancelled:
-            got.pop(role, None)
-            if role == "insult":
-                got.pop("address", None)
-        factor = min(1.0, lexicon_length(folded))
-        insults = got.get("insult", set())
-        w = lexicon.WEIGHTS
-        hateful = w["phrase"] * len(got.get("hateful", ()))
-        sexual = w["phrase"] * len(got.get("sexual", ())) + w["porn"] * len(got.get("porn", ()))
-        abusive = w["phrase"] * len(got.get("abusive", ())) + (w["insult"] * len(insults) + w["address"] * min(2, len(got.get("address", ()))) if insults else 0.0)
-        if hateful >= 1 and not got.get("abusive"):
+        get = lambda *names: sum(role.get(n, 0.0) for n in names)
+        hateful = get("vermin", "group", "expel")
+        if hateful or any(h.role == "gap" for h in hits):
+            hateful += get("kin", "filthy")
+        gaps: dict[str, int] = {}
+        for h in hits:
+            if h.role == "gap":
+                k, _, name = h.name.partition("|")
+                if k == "0":
+                    gaps.setdefault(name, h.last)
+                elif name in gaps and h.first > gaps[name]:
+                    hateful += lexicon.GAPPED[tuple(name.split("|"))]
+                    gaps[name] = 1 << 30
+        if any(a.role == "violence" and b.role == "group" and 0 < b.first - a.last <= 2 for a in hits for b in hits):
+            hateful += 0.8  # "kill all ..."
+        abusive = 0.0
+        if get("noun", "threat", "violence"):
+            abusive = get("noun", "adjective", "threat", "you")
+            if "violence" in role or "body" in role:
+                abusive += get("violence", "body", "intent") if get("you", "body") else 0.0
+        if hateful >= 1 and get("threat") < 1 and "body" not in role:
             abusive = 0.0  # insults there are the attack's own words
-        scores = {lexicon.ABUSIVE: abusive, lexicon.HATEFUL: hateful, lexicon.SEXUAL: sexual}
-        scores = {k: v * factor for k, v in scores.items() if v}
+        scores = {lexicon.ABUSIVE: abusive, lexicon.HATEFUL: hateful, lexicon.SEXUAL: get("sexual", "nudity")}
+        return {k: v + 1e-9 for k, v in scores.items() if v}
+
+    def sentence(self, folded: str) -> dict[str, float]:
+        """Score by category of a folded sentence."""
+        hits = self.hits(folded)
+        if not hits:
+            return {}
+        n = folded.count(" ") + 1
+        factor = min(1.0, (NORMAL_WORDS / n) ** 0.5)
+        scores = {k: v * factor for k, v in self.score(hits).items()}
         if factor < 1:
-            blanks = [0, *(i + 1 for i, c in enumerate(folded) if c == " ")]
-            for k in sorted({bisect_left(blanks, b) for b in begins}):
-                end = blanks[k + NORMAL_WORDS] - 1 if k + NORMAL_WORDS < len(blanks) else len(folded)
-                for category, v in self.sentence(folded[blanks[k] : end], cancelled).items():
+            for i, h in enumerate(hits):
+                for category, v in self.score([x for x in hits[i : i + NORMAL_WORDS * 4] if x.last < h.first + NORMAL_WORDS]).items():
                     scores[category] = max(scores.get(category, 0.0), v)
         return scores
 
@@ -212,11 +240,6 @@ class Lexicon:
         return best
 
 
-def lexicon_length(folded: str) -> float:
-    n = folded.count(" ") + 1
-    return 1.0 if n <= NORMAL_WORDS else (NORMAL_WORDS / n) ** 0.5
-
-
 SCORES = "doc_id long, abusive double, hateful double, sexual double"
 
 

@@ -55,6 +55,7 @@ def nearest(rows: DataFrame, widths: dict[str, int], k: int = 5, least: float =
     rows has the columns space, id (long) and embedding (array<float>); place is the space's number in alphabetical order."""
     groups = vectors.similar_groups(rows, widths, least)
     plans, members = groups.plans, groups.members
+    members = members.drop("ids")
     total, largest, copies = members.agg(F.count("*"), F.max("size"), F.max("n")).first()
     spare = None
     if (copies or 0) > 1:

@@ -149,7 +149,7 @@ def plan_tables(codes: int, cosine: float) -> tuple[int, int, int]:
     meets with RECALL, in buckets of BUCKET entries on average."""
     best = None
     for probes in (1, 2, 4, 8):
-        length = max(2, min(24, math.ceil(math.log2(max(1, codes * probes / BUCKET)))))
+        length = max(2, min(24, round(math.log2(max(1, codes * probes / BUCKET)))))
         if probes > 1 << (length - 1):
             continue
         together = min(meeting(length, probes, cosine), 1 - 1e-9)
@@ -175,7 +175,7 @@ def plans_for(rows: DataFrame, widths: dict[str, int], cosine: float) -> dict[st
         mine = sample.filter(pc.equal(sample.column("space"), space)).sort_by("id").column("embedding").combine_chunks()
         mine = mine.chunk(0) if isinstance(mine, pa.ChunkedArray) and mine.num_chunks else mine
         v = usable_rows(mine, width)[1] if len(mine) else np.zeros((0, width), np.float32)
-        length, tables, probes = plan_tables(1 << max(0, counts.get(space, 0) - 1).bit_length(), cosine)
+        length, tables, probes = plan_tables(counts.get(space, 0), cosine)
         bits = -(-max(BITS, length * tables) // 64) * 64
         out[space] = Plan(place, width, length, tables, probes, radius(cosine, bits), learn_rotation(v, bits))
     return out
@@ -285,7 +285,7 @@ def rows_of(column: pa.Array, dtype, width: int) -> np.ndarray:
 
 
 def buckets(nodes: DataFrame, plans: dict[str, Plan], hot: dict) -> DataFrame:
-    """bucket, place, codes, names: the codes and nodes of each bucket, packed by batch. nodes: place, node, code, keys."""
+    """bucket, place, codes: the codes of each bucket, packed by batch. nodes: place, node, code, keys."""
     by_place = {p.place: p for p in plans.values()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,17 +295,16 @@ def buckets(nodes: DataFrame, plans: dict[str, Plan], hot: dict) -> DataFrame:
                 n = part.num_rows
                 if not n:
                     continue
-                codes = rows_of(part.column(2), np.uint64, plan.words)
-                keys = rows_of(part.column(3), np.int32, plan.tables * plan.probes)
-                names = part.column(1).to_numpy()
+                codes = rows_of(part.column(1), np.uint64, plan.words)
+                keys = rows_of(part.column(2), np.int32, plan.tables * plan.probes)
                 bucket, row = entries(place, keys, codes, plan, hot)
                 order = np.argsort(bucket, kind="stable")
                 bucket, row = bucket[order], row[order]
                 starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-                columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), place, np.int32)), pieces(codes[row], starts), pieces(names[row], starts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "place", "codes", "names"])
+                columns = [pa.array(bucket[starts]), pa.array(np.full(len(starts), place, np.int32)), pieces(codes[row], starts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "place", "codes"])
 
-    return nodes.select("place", "node", "code", "keys").mapInArrow(run, "bucket long, place int, codes binary, names binary")
+    return nodes.select("place", "code", "keys").mapInArrow(run, "bucket long, place int, codes binary")
 
 
 def link(x: np.ndarray, floor: float) -> np.ndarray:
@@ -347,10 +346,10 @@ def stars(blocks: DataFrame, plans: dict[str, Plan]) -> DataFrame:
     by_place = {p.place: (p.words, p.radius) for p in plans.values()}
 
     def run(table: pa.Table) -> pa.Table:
-        words, most = by_place[table.column("place")[0].as_py()]
-        names = joined(table.column("names")).view(np.int64)
+        place = table.column("place")[0].as_py()
+        words, most = by_place[place]
         codes = joined(table.column("codes")).view(np.uint64).reshape(-1, words)
-        names, at = np.unique(names, return_index=True)
+        names, at = np.unique(node_of(codes, place), return_index=True)
         signs = np.unpackbits(np.ascontiguousarray(codes[at]).view(np.uint8), axis=1).astype(np.float32) * 2 - 1
         root = names[link(signs, signs.shape[1] - 2 * most - 0.5)]
         linked = root != names
@@ -376,7 +375,7 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 class Groups(NamedTuple):
-    #: place, v, node, rep (the smallest id), n (ids), label, size (different vectors in the group); groups of copies included
+    #: place, v, node, rep (the smallest id), n (ids), label, size (different vectors in the group), ids (in the group); groups of copies included
     members: DataFrame
     #: place, id, v of every usable id
     owners: DataFrame
@@ -391,13 +390,13 @@ def similar_groups(rows: DataFrame, widths: dict[str, int], cosine: float) -> Gr
     plans = plans_for(rows, widths, cosine)
     every = written(encoded(rows, plans))
     owners = every.groupBy("place", "id").agg(F.min(F.struct("v", "node")).alias("o")).select("place", "id", "o.v", "o.node")
-    nodes = every.select("place", "node", "code", "keys").dropDuplicates(["place", "node"])
+    nodes = written(every.select("place", "node", "code", "keys").dropDuplicates(["place", "node"]))
     hot = split_keys(nodes)
     labels = contracted(stars(buckets(nodes, plans, hot), plans))
     vectors = owners.groupBy("place", "v", "node").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     found = written(vectors.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    sizes = found.groupBy("label").agg(F.count("*").alias("size"))
-    members = found.join(sizes, "label").where("size > 1 OR n > 1").select("place", "v", "node", "rep", "n", "label", "size")
+    sizes = found.groupBy("label").agg(F.count("*").alias("size"), F.sum("n").alias("ids")).where("ids > 1")
+    members = found.join(sizes, "label").select("place", "v", "node", "rep", "n", "label", "size", "ids")
     return Groups(written(members), owners, nodes, plans, hot)
 
 

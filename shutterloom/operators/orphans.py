@@ -1,8 +1,8 @@
-"""References to records that do not exist, by compressed bitmaps.
+"""References to records that do not exist, by compressed bitmaps over dictionary codes.
 
-Keys are encoded as integers (long keys are their own code; other keys get dense codes from
-``encode_keys``). Each key range of 2**RANGE_BITS codes is one group; in it, a compressed bitmap per
-referring table and period is taken AND NOT the parent's bitmaps, and the surviving bits are decoded.
+Keys are spread over ranges by their hash, so many ranges that each hold about ``RANGE`` keys, however sparse, long or
+clustered the keys are. In a range the keys of both sides are dictionary-encoded as consecutive integers; a compressed
+bitmap of codes per referring table and period is taken AND NOT the parents' bitmaps, and the surviving bits are decoded.
 
 Every group is bounded: both sides are reduced to one row per table and key by map-side combining
 aggregates first, so a hot key cannot make a large group.
@@ -18,27 +18,16 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom.functions.bitmaps import Bitmap
 
-RANGE_BITS = 13
+#: Keys in a range, about.
+RANGE = 8192
 NO_TIME = np.iinfo(np.int64).min
 
 
-def encode_keys(keys: DataFrame, column: str) -> DataFrame:
-    """Dictionary (column, code long) of the distinct non-null keys: dense codes in key order within hash
-    buckets, so neither one task nor the driver sees all keys."""
-    buckets = 1 << 12
-    distinct = keys.select(column).where(F.col(column).isNotNull()).distinct()
-    bucket = F.pmod(F.xxhash64(column), F.lit(buckets))
-    placed = distinct.withColumn("_bucket", bucket).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy(column)) - 1
-    )
-    return placed.select(column, (F.col("_bucket") * F.lit(1 << 40) + F.col("_rank")).alias("code"))
-
-
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
@@ -78,54 +67,48 @@ def references(tables: Mapping[str, DataFrame], key: str = "asset_id", written:
     )
 
 
-def _range_orphans(bits: int):
-    width = 1 << bits
-
-    def ids(values: np.ndarray, base: int) -> np.ndarray:
-        return (values - base).astype(np.int64)
-
-    def run(key: tuple, refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        base = int(key[0]) << bits
-        at = ids(known["asset_id"].to_numpy(np.int64), base)
-        parent = Bitmap.of(at, width)
-        alive = Bitmap.of(at[~known["deleted"].to_numpy(bool)], width)
-        first = known["first_seen"].fillna(NO_TIME).to_numpy(np.int64)
-        first_seen = np.full(width, NO_TIME, np.int64)
-        first_seen[at] = first
-        first_month = known["seen_month"].fillna(-(1 << 20)).to_numpy(np.int64)
-        out = []
-        for (table, month), part in refs.groupby(["src_table", "month"], dropna=False, sort=False):
-            offsets = ids(part["asset_id"].to_numpy(np.int64), base)
-            wrote = np.full(width, NO_TIME, np.int64)
-            wrote[offsets] = part["first_written"].fillna(NO_TIME).to_numpy(np.int64)
-            referred = Bitmap.of(offsets, width)
-            missing = referred.and_not(parent)
-            deleted = referred.and_not(alive).and_not(missing)
-            found = [("missing", missing), ("deleted", deleted)]
-            if not pd.isna(month):
-                in_time = Bitmap.of(at[first_month < month], width)
-                rest = referred.and_not(in_time).and_not(missing).and_not(deleted).offsets()
-                late = rest[(first_seen[rest] > wrote[rest]) & (first_seen[rest] != NO_TIME)]
-                found.append(("late", Bitmap.of(late, width)))
-            for reason, bitmap in found:
-                if len(bitmap):
-                    out.append(pd.DataFrame({"src_table": table, "asset_id": bitmap.offsets() + base, "reason": reason, "month": None if pd.isna(month) else month}))
-        columns = ["src_table", "asset_id", "reason", "month"]
-        return pd.concat(out)[columns].astype({"src_table": object, "reason": object, "month": "Int64"}) if out else pd.DataFrame({c: [] for c in columns}).astype({"src_table": object, "reason": object, "asset_id": "int64", "month": "Int64"})
-
-    return run
-
-
-def find_orphans(refs: DataFrame, known: DataFrame, range_bits: int = RANGE_BITS) -> DataFrame:
+def _range_orphans(key: tuple, refs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    names = np.union1d(refs["asset_id"].to_numpy(np.int64), known["asset_id"].to_numpy(np.int64))  # the dictionary: code -> key
+    width = len(names)
+    at = np.searchsorted(names, known["asset_id"].to_numpy(np.int64))
+    parent = Bitmap.of(at, width)
+    alive = Bitmap.of(at[~known["deleted"].to_numpy(bool)], width)
+    first_seen = np.full(width, NO_TIME, np.int64)
+    first_seen[at] = known["first_seen"].fillna(NO_TIME).to_numpy(np.int64)
+    first_month = known["seen_month"].fillna(-(1 << 20)).to_numpy(np.int64)
+    out = []
+    for (table, month), part in refs.groupby(["src_table", "month"], dropna=False, sort=False):
+        codes = np.searchsorted(names, part["asset_id"].to_numpy(np.int64))
+        wrote = np.full(width, NO_TIME, np.int64)
+        wrote[codes] = part["first_written"].fillna(NO_TIME).to_numpy(np.int64)
+        referred = Bitmap.of(codes, width)
+        missing = referred.and_not(parent)
+        deleted = referred.and_not(alive).and_not(missing)
+        found = [("missing", missing), ("deleted", deleted)]
+        if not pd.isna(month):
+            in_time = Bitmap.of(at[first_month < month], width)
+            rest = referred.and_not(in_time).and_not(missing).and_not(deleted).offsets()
+            late = rest[(first_seen[rest] > wrote[rest]) & (first_seen[rest] != NO_TIME)]
+            found.append(("late", Bitmap.of(late, width)))
+        for reason, bitmap in found:
+            if len(bitmap):
+                out.append(pd.DataFrame({"src_table": table, "asset_id": names[bitmap.offsets()], "reason": reason, "month": None if pd.isna(month) else month}))
+    columns = ["src_table", "asset_id", "reason", "month"]
+    return pd.concat(out)[columns].astype({"src_table": object, "reason": object, "month": "Int64"}) if out else pd.DataFrame({c: [] for c in columns}).astype({"src_table": object, "reason": object, "asset_id": "int64", "month": "Int64"})
+
+
+def find_orphans(refs: DataFrame, known: DataFrame, keys: int | None = None) -> DataFrame:
     """src_table, asset_id, reason, period of every reference without a parent to refer to.
 
-    refs as from references(), known as from parents(). The first reason that holds is given: ``missing``,
-    ``deleted``, ``late``. period is YYYY-MM of the earliest write."""
-    in_range = F.shiftright("asset_id", range_bits).alias("key_range")
+    refs as from references(), known as from parents(); keys is about how many keys there are, counted if not given. The
+    first reason that holds is given: ``missing``, ``deleted``, ``late``. period is YYYY-MM of the earliest write."""
+    if keys is None:
+        keys = refs.select("asset_id").unionByName(known.select("asset_id")).agg(F.approx_count_distinct("asset_id")).first()[0]
+    in_range = F.pmod(F.xxhash64("asset_id"), F.lit(max(1, -(-keys // RANGE)))).alias("key_range")
     seen_at = F.timestamp_micros("first_seen")
     left = refs.select(in_range, "src_table", "asset_id", "first_written", "month")
     right = known.select(in_range, "asset_id", "first_seen", ((F.year(seen_at) - 1970) * 12 + F.month(seen_at) - 1).alias("seen_month"), is_deleted().alias("deleted"))
-    found = left.groupBy("key_range").cogroup(right.groupBy("key_range")).applyInPandas(_range_orphans(range_bits), "src_table string, asset_id long, reason string, month long")
+    found = left.groupBy("key_range").cogroup(right.groupBy("key_range")).applyInPandas(_range_orphans, "src_table string, asset_id long, reason string, month long")
     month = F.add_months(F.lit("1970-01-01").cast("date"), F.col("month").cast("int"))
     return found.select("src_table", "asset_id", "reason", F.date_format(month, "yyyy-MM").alias("period"))
 

@@ -2,7 +2,7 @@
 
 A record's sequence number counts as processed while its current version has been; intervals of processed
 numbers are subtracted from the available ranges, and the gaps are the work, late commits included. A run's
-output and its merged intervals are published together, by one rename, so a run that fails at any point
+output and its merged intervals are published together, by one file that only one run can claim, so a run that fails at any point
 leaves the ledger as it was: nothing is skipped, nothing is done twice.
 
 All interval arithmetic is per (lane, block of 2**BLOCK_BITS numbers), so every window is bounded; equal
@@ -13,12 +13,16 @@ give no rows; repeated rows count once; other columns are not read.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shutterloom.session import checkpoint_dir, written
+
 BLOCK_BITS = 13
 INTERVALS = "lane string, lo long, hi long"
 
@@ -81,9 +85,12 @@ def pending(available: DataFrame, processed: DataFrame) -> DataFrame:
 class Ledger:
     """Processed intervals kept beside the output of the runs, in one folder of a shared file system.
 
-    ``current`` is a small file that names the run whose folder holds the valid intervals; it is replaced by
-    one rename after a run's output and intervals are completely written. Folders of broken runs are never
-    named by it and so never read."""
+    ``state.<n>`` is a small file that names the run whose folder holds the valid intervals; the largest n holds. A run
+    writes its output and intervals first and then claims the next number: the file appears whole or not at all, and of two
+    runs that started from one state only one can claim it, so neither loses the other's intervals. Folders of broken or
+    beaten runs are never named and so never read. Every ``FOLD`` runs the earlier outputs are written together."""
+
+    FOLD = 64
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -92,10 +99,11 @@ class Ledger:
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _state(self) -> dict:
-        at = self._path(f"{self.folder}/current")
-        if not self._fs.exists(at):
-            return {"run": None, "outputs": []}
-        stream = self._fs.open(at)
+        at = self._path(self.folder)
+        numbers = [int(n) for f in (self._fs.listStatus(at) if self._fs.exists(at) else []) if (n := f.getPath().getName().removeprefix("state.")).isdigit()]
+        if not numbers:
+            return {"number": 0, "run": None, "outputs": []}
+        stream = self._fs.open(self._path(f"{self.folder}/state.{max(numbers)}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -103,40 +111,61 @@ class Ledger:
 
     def processed(self) -> DataFrame:
         """lane, block, lo, hi of all published runs."""
-        state = self._state()
+        return self._processed(self._state())
+
+    def _processed(self, state: dict) -> DataFrame:
         if state["run"] is None:
             return cut_at_blocks(self.spark.createDataFrame([], INTERVALS))
         return cut_at_blocks(self.spark.read.schema(INTERVALS).parquet(f"{self.folder}/runs/{state['run']}/intervals"))
 
     def output(self) -> DataFrame | None:
         """The output rows of all published runs; None before the first."""
-        outputs = self._state()["outputs"]
-        return self.spark.read.parquet(*[f"{self.folder}/runs/{run}/output" for run in outputs]) if outputs else None
+        return self._output(self._state())
+
+    def _output(self, state: dict) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.folder}/runs/{part}" for part in state["outputs"]]) if state["outputs"] else None
+
+    def adopt(self, done: DataFrame) -> str:
+        """Take over what was processed before there was a ledger: done has lane and seq."""
+        state, run = self._state(), uuid.uuid4().hex
+        merge(self._processed(state), intervals(done)).select("lane", "lo", "hi").write.parquet(f"{self.folder}/runs/{run}/intervals")
+        self._publish({"number": state["number"] + 1, "run": run, "outputs": state["outputs"]})
+        return run
 
-    def run(self, available: DataFrame, process: Callable[[DataFrame], DataFrame]) -> str:
-        """Process the gaps: available has lane and seq; process gets the (lane, seq) to do and returns rows to write."""
+    def run(self, available: DataFrame, process: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Process the gaps and publish: available has lane and seq; process gets the (lane, seq) to do and returns rows to
+        write. Returns the rows written."""
         state, run = self._state(), uuid.uuid4().hex
-        gaps = subtract(intervals(available), self.processed())
+        gaps = subtract(intervals(available), self._processed(state))
         at = f"{self.folder}/runs/{run}"
         # the work list is written first: what is committed is exactly what was processed, whatever arrives meanwhile
         gaps.write.parquet(f"{at}/work")
-        work = self.spark.read.parquet(f"{at}/work")
+        work = self.spark.read.schema("lane string, block long, lo long, hi long").parquet(f"{at}/work")
         process(numbers(work)).write.parquet(f"{at}/output")
-        merge(self.processed(), work).select("lane", "lo", "hi").write.parquet(f"{at}/intervals")
-        self._publish({"run": run, "outputs": [*state["outputs"], run]}, expected=state)
-        return run
-
-    def _publish(self, new: dict, expected: dict) -> None:
-        if self._state() != expected:
-            raise RuntimeError("another run was published meanwhile; this one is void")
-        draft = self._path(f"{self.folder}/current.{new['run']}")
+        merge(self._processed(state), work).select("lane", "lo", "hi").write.parquet(f"{at}/intervals")
+        outputs = state["outputs"]
+        if len(outputs) >= self.FOLD:
+            self._output(state).write.parquet(f"{at}/earlier")
+            outputs = [f"{run}/earlier"]
+        self._publish({"number": state["number"] + 1, "run": run, "outputs": [*outputs, f"{run}/output"]})
+        return self.spark.read.parquet(f"{at}/output")
+
+    def _publish(self, new: dict) -> None:
+        draft, target = self._path(f"{self.folder}/draft.{new['run']}"), self._path(f"{self.folder}/state.{new['number']}")
         stream = self._fs.create(draft, True)
         stream.write(bytearray(json.dumps(new).encode()))
         stream.close()
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(draft, self._path(f"{self.folder}/current"), options)
+        try:
+            if self._fs.getUri().getScheme() == "file":  # a local rename would replace the other run's file
+                os.link(draft.toUri().getPath(), target.toUri().getPath())
+            else:
+                none = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                options[0] = none
+                context.rename(draft, target, options)
+        except (OSError, Py4JJavaError) as e:
+            raise RuntimeError("another run was published meanwhile; this one is void") from e
 
 
 def current_assets(assets: DataFrame) -> DataFrame:
@@ -146,21 +175,25 @@ def current_assets(assets: DataFrame) -> DataFrame:
     return assets.where(F.col("asset_id").isNotNull()).groupBy("asset_id").agg(latest.alias("row")).select("asset_id", F.col("row.seen_at").alias("last_seen"), *[F.col(f"row.{f}").alias(f) for f in fields])
 
 
-def pending_text_assets(assets: DataFrame, pruned: DataFrame, recognised: DataFrame, state: DataFrame, spaces: DataFrame) -> DataFrame:
+def pending_text_assets(assets: DataFrame, pruned: DataFrame, recognised: DataFrame, state: DataFrame, spaces: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """space, asset_id: the recognised assets that the next embedding run of each space must process.
 
     A sequence number is an asset_id; it counts as processed in a space while the state holds the current
-    row's fingerprint with an embedding, whatever the outcome of the run that wrote it."""
+    row's fingerprint with an embedding, whatever the outcome of the run that wrote it. What was processed is taken over
+    into the ledger (a new one in the shared folder if none is given), the gaps of the available ranges are the run's
+    work, and the work list is published with the merged intervals."""
     gone = pruned.where(F.col("asset_id").isNotNull()).groupBy("asset_id").agg(F.max("pruned_at").alias("gone"))
     texts = recognised.where(F.trim("content") != "").select("asset_id").distinct()
     now = current_assets(assets)
     eligible = (F.col("media_kind") == "image") & F.col("media_format").isin("png", "jpeg", "gif", "webp")
     current = now.where(eligible).join(gone, "asset_id", "left").where(F.col("gone").isNull() | (F.col("gone") <= F.col("last_seen"))).join(texts, "asset_id", "left_semi").select("asset_id", "source_modified_ns", "source_size")
+    current = written(current)
     done = state.where(F.col("embedding").isNotNull()).select("space", "asset_id", "source_modified_ns", "source_size").distinct()
     lanes = spaces.select("space").dropna().distinct()
+    ledger = ledger or Ledger(assets.sparkSession, f"{checkpoint_dir(assets.sparkSession)}/ledger-{uuid.uuid4().hex}")
+    ledger.adopt(current.join(done, ["asset_id", "source_modified_ns", "source_size"]).select(F.col("space").alias("lane"), F.col("asset_id").alias("seq")))
     available = _each_space(current, lanes).select(F.col("space").alias("lane"), F.col("asset_id").alias("seq"))
-    processed = current.join(done, ["asset_id", "source_modified_ns", "source_size"]).select(F.col("space").alias("lane"), F.col("asset_id").alias("seq"))
-    return pending(available, processed).select(F.col("lane").alias("space"), F.col("seq").alias("asset_id"))
+    return ledger.run(available, lambda todo: todo.select(F.col("lane").alias("space"), F.col("seq").alias("asset_id")))
 
 
 def _each_space(current: DataFrame, lanes: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shutterloom.operators import increments, orphans
 from shutterloom.session import table
@@ -11,8 +12,13 @@ REFERRING = ("image_embedding_state", "ocr_results", "thumbnails")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    refs = orphans.references({name: table(spark, folder, name) for name in REFERRING})
-    return orphans.find_orphans(refs, orphans.parents(table(spark, folder, "assets"), table(spark, folder, "pruned_assets")))
+    tables = {name: table(spark, folder, name) for name in REFERRING}
+    assets, pruned = table(spark, folder, "assets"), table(spark, folder, "pruned_assets")
+    every = assets.select("asset_id")
+    for df in (pruned, *tables.values()):
+        every = every.unionByName(df.select("asset_id"))
+    keys = every.agg(F.approx_count_distinct("asset_id")).first()[0]  # one column of each table, nothing shuffled
+    return orphans.find_orphans(orphans.references(tables), orphans.parents(assets, pruned), keys)
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:

@@ -37,10 +37,15 @@ def test_orphans(spark):
     assert orphans.find_orphans(orphans.references({"t": refs}), orphans.parents(assets.limit(0), pruned.limit(0))).count() == 9
 
 
-def test_keys_get_codes(spark):
-    keys = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "k string")
-    codes = {r.k: r.code for r in orphans.encode_keys(keys, "k").collect()}
-    assert set(codes) == {"a", "b"} and len(set(codes.values())) == 2
+def test_sparse_keys_share_ranges(spark, monkeypatch):
+    """Random 64-bit keys fall into as many ranges as their number asks for, and all orphans are found."""
+    monkeypatch.setattr(orphans, "RANGE", 50)
+    keys = np.random.default_rng(2).integers(-(2**62), 2**62, 400).tolist()
+    assets = _rows(spark, [(k, 1) for k in keys[:300]], "asset_id long, seen_at timestamp")
+    pruned = _rows(spark, [], "asset_id long, pruned_at timestamp")
+    refs = _rows(spark, [(k, 2) for k in keys[200:]], "asset_id long, written_at timestamp")
+    got = orphans.find_orphans(orphans.references({"t": refs}), orphans.parents(assets, pruned))
+    assert sorted(r.asset_id for r in got.collect()) == sorted(keys[300:])
 
 
 def _numbers(spark, pairs):
@@ -76,6 +81,25 @@ def test_ledger_survives_failures_and_late_commits(spark, tmp_path):
     assert sorted((r.lane, r.lo, r.hi) for r in ledger.processed().collect()) == [("a", 1, 3), ("a", 5, 5), ("a", 9, 9), ("b", 1, 1)]
 
 
+def test_of_two_racing_runs_one_is_published(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(increments.Ledger, "FOLD", 2)
+    ledger = increments.Ledger(spark, f"file://{tmp_path}")
+    rows = _numbers(spark, [("a", 1), ("a", 2)])
+    ledger.adopt(_numbers(spark, [("a", 2), ("a", 7)]))
+
+    def beaten(todo):
+        increments.Ledger(spark, str(tmp_path)).run(rows.unionByName(_numbers(spark, [("a", 3)])), lambda x: x)
+        return todo
+
+    with pytest.raises(RuntimeError, match="void"):
+        ledger.run(rows, beaten)
+    assert sorted(r.seq for r in ledger.output().collect()) == [1, 3]
+    for n in range(10, 14):
+        assert [r.seq for r in ledger.run(_numbers(spark, [("a", n)]), lambda x: x).collect()] == [n]
+    assert sorted(r.seq for r in ledger.output().collect()) == [1, 3, 10, 11, 12, 13] and len(ledger._state()["outputs"]) <= 3
+    assert sorted((r.lo, r.hi) for r in ledger.processed().collect()) == [(1, 3), (7, 7), (10, 13)]
+
+
 def test_pending_text_assets(spark):
     a = "asset_id long, source_modified_ns long, source_size long, media_kind string, media_format string, day int"
     assets = spark.createDataFrame(

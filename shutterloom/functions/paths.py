@@ -68,4 +68,4 @@ def natural_key(text: Column) -> Column:
 
 def canonical_windows(path: Column) -> Column:
     r"""Without the verbatim prefixes \\?\ and \\?\UNC\."""
-    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\\\\\"), r"^\\\\\?\\", "")
+    return F.regexp_replace(F.regexp_replace(path, r"^\\\\\?\\UNC\\", r"\\\\"), r"^\\\\\?\\", "")

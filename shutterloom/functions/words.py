@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,11 +61,17 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b) <= 1
 
 
+#: In hexadecimal, a UTF-8 text that ends within a character.
+BROKEN_END = r"^((?:[0-9A-F]{2})*?)(?:[CD][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-9A-F](?:[89AB][0-9A-F]){0,2})$"
+
+
 def truncate_utf8(text: Column, most: int) -> Column:
     """The longest start of at most so many bytes that ends with a whole character."""
+    start = F.hex(F.substring(text.cast("binary"), 1, most))
+    whole = F.decode(F.unhex(F.regexp_replace(start, BROKEN_END, "$1")), "UTF-8")
+    return F.when(F.octet_length(text) <= most, text).otherwise(whole)
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else t.encode()[:most].decode(errors="ignore"))
 
-    return run(text)
+def join_lines(lines: Column) -> Column:
+    """The lines that have text, one below the other."""
+    return F.array_join(F.filter(lines, lambda x: F.trim(x) != ""), "\n")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shutterloom.operators.filters import embeddable, non_blank, recognisable, within_dimensions
+from shutterloom.operators.filters import TimeRange, embeddable, non_blank, recognisable, within_dimensions
+from shutterloom.operators.media import BUCKETS
+from shutterloom.operators.scope import PathScope
 from shutterloom.operators.search import fingerprint
 
 
@@ -66,12 +68,41 @@ def pending_recognition(assets: DataFrame, recognised: DataFrame, failed: DataFr
     return rows if failed is None else rows.join(failed.select(*fingerprint()).distinct(), fingerprint(), "left_anti")
 
 
-def pending_images(assets: DataFrame, state: DataFrame, thumbnails: DataFrame, generator: int, videos: bool = True) -> DataFrame:
-    """Media without a current vector state; videos also where no thumbnail of the generator is current."""
+def pending_images(assets: DataFrame, state: DataFrame, thumbnails: DataFrame, generator: int, videos: bool = True, limit: int | None = None) -> DataFrame:
+    """Media without a current vector state; videos also where no thumbnail of the generator is current. One scan of the
+    catalog: what is there is flagged by key, what lacks a flag is pending."""
     version = F.when(F.col("media_kind") == "video", 4).otherwise(0)
     wanted = assets.where(embeddable(videos)).withColumn("sampling_version", version)
-    done = state.select(*fingerprint(), "sampling_version").distinct()
-    unvectored = wanted.join(done, [*fingerprint(), "sampling_version"], "left_anti")
-    shown = thumbnails.where(F.col("generator_version") == generator).select(*fingerprint()).distinct()
-    unshown = wanted.where(F.col("media_kind") == "video").join(shown, fingerprint(), "left_anti")
-    return unvectored.unionByName(unshown).dropDuplicates(["asset_id"])
+    done = state.select(*fingerprint(), "sampling_version").distinct().withColumn("_vector", F.lit(True))
+    shown = thumbnails.where(F.col("generator_version") == generator).select(*fingerprint()).distinct().withColumn("_shown", F.lit(True))
+    flagged = wanted.join(done, [*fingerprint(), "sampling_version"], "left").join(shown, fingerprint(), "left")
+    rows = flagged.where(F.col("_vector").isNull() | ((F.col("media_kind") == "video") & F.col("_shown").isNull())).drop("_vector", "_shown").dropDuplicates(["asset_id"])
+    return rows if limit is None else rows.orderBy("asset_id").limit(limit)
+
+
+def videos_with_all_frames(samples: DataFrame, frames: DataFrame, posters: DataFrame, generator: int) -> DataFrame:
+    """asset_id, source_modified_ns, source_size of videos that show every indexed frame: each sample time has its sizes
+    (all buckets but the largest; the first one, the poster, all) and the still poster has all buckets.
+
+    samples: asset_id, timestamp_ms; frames: fingerprint, timestamp_ms, size_bucket; posters: thumbnails."""
+    times = samples.where(F.col("timestamp_ms").isNotNull()).select("asset_id", "timestamp_ms").distinct()
+    first = times.groupBy("asset_id").agg(F.min("timestamp_ms").alias("first"), F.count("*").alias("times"))
+    need = first.select("asset_id", "first", (F.col("times") * (len(BUCKETS) - 1) + 1).alias("need"))
+    wanted = times.join(need, "asset_id")
+    have = frames.where(F.col("size_bucket").isin(*BUCKETS)).select(*fingerprint(), "timestamp_ms", "size_bucket").distinct().join(wanted, ["asset_id", "timestamp_ms"])
+    have = have.where((F.col("size_bucket") < BUCKETS[-1]) | (F.col("timestamp_ms") == F.col("first")))
+    full = have.groupBy(*fingerprint()).agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n = need").select(*fingerprint())
+    poster = posters.where((F.col("generator_version") == generator) & F.col("size_bucket").isin(*BUCKETS)).groupBy(*fingerprint()).agg(F.count_distinct("size_bucket").alias("n")).where(F.col("n") == len(BUCKETS))
+    return full.join(poster.select(*fingerprint()), fingerprint(), "left_semi")
+
+
+def thumbnail_backfill(assets: DataFrame, scope: PathScope, time: TimeRange) -> DataFrame:
+    """The assets of a library whose thumbnails are made again: scope first, then the range on its timeline."""
+    return assets.where(scope.column(F.col("path")) & time.column())
+
+
+def batch_ids(ids: list[int], most: int = 1000) -> list[int]:
+    """The ids of a lookup: positive, each once, no more than ``most``; otherwise an error."""
+    if len(ids) > most or any(i <= 0 for i in ids) or len(set(ids)) < len(ids):
+        raise ValueError(f"a lookup names up to {most} different positive ids")
+    return ids

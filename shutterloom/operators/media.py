@@ -55,6 +55,36 @@ def crop_shortest_edge(width: Column, height: Column, edge: int, crop: int) -> C
     return F.struct(x.alias("x"), y.alias("y"), cw.alias("w"), ch.alias("h"))
 
 
+def crop_stretch() -> Column:
+    """struct x, y, w, h of an input that is stretched: all of the source."""
+    return F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(1.0).alias("h"))
+
+
+def crop_capped_edge(width: Column, height: Column, edge: int, most: int, crop: int) -> Column:
+    """struct x, y, w, h after a resize of the shorter side to ``edge``, unless the longer one would exceed ``most``: then that
+    is its length. Whole pixels, rounded down at each step."""
+    scale = lambda v, a, b: F.floor(v * a / b)
+    upright = width < height
+    w0 = F.when(upright, F.lit(edge)).otherwise(scale(F.lit(edge), width, height))
+    h0 = F.when(upright, scale(F.lit(edge), height, width)).otherwise(F.lit(edge))
+    over, tall = F.greatest(w0, h0) > most, h0 > w0
+    w = F.when(over, F.when(tall, scale(F.lit(most), w0, h0)).otherwise(F.lit(most))).otherwise(w0)
+    h = F.when(over, F.when(tall, F.lit(most)).otherwise(scale(F.lit(most), h0, w0))).otherwise(h0)
+    (x, cw), (y, ch) = crop_axis(F.greatest(w, F.lit(1)), crop), crop_axis(F.greatest(h, F.lit(1)), crop)
+    return F.struct(x.alias("x"), y.alias("y"), cw.alias("w"), ch.alias("h"))
+
+
+def blended(channel: Column, alpha: Column, background: int = 255) -> Column:
+    """A colour channel (0 to 255) over an opaque background, whole numbers rounded down."""
+    return F.floor((channel * alpha + F.lit(background) * (255 - alpha)) / 255).cast("int")
+
+
+def source_state(expected_ns: Column, expected_size: Column, found: Column, ns: Column, size: Column) -> Column:
+    """current, changed, missing or unavailable. found: ok, absent, or anything else for a file that could not be looked at."""
+    same = ns.eqNullSafe(expected_ns) & size.eqNullSafe(expected_size)
+    return F.when(found == "absent", "missing").when(found != "ok", "unavailable").when(same, "current").otherwise("changed")
+
+
 def required_bucket(size: Column) -> Column:
     """The smallest bucket of at least the size (1 to 1024); null otherwise."""
     got = F.lit(None).cast("int")
@@ -86,3 +116,22 @@ def rolling_rate(events: DataFrame, key: str, at: str, work: str, seconds: int =
     """rate: work in the last seconds (this instant included) per second, per key, by a range frame over whole microseconds."""
     w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
     return events.withColumn("rate", F.sum(work).over(w) / seconds)
+
+
+def throughput(samples: DataFrame, key: str, at: str, done: str, seconds: int = 5) -> DataFrame:
+    """samples (done: the total so far) with rate: work per second over the last seconds, or since the first sample if that
+    is later. The total at the window's edge is interpolated between the samples on its two sides."""
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    edge, by = seconds * 1_000_000, Window.partitionBy(key).orderBy("_us")
+    rows = samples.withColumn("_us", us)
+    pair = F.struct("_us", F.col(done).cast("double").alias("d"))
+    rows = rows.withColumns({
+        "_before": F.last(pair).over(by.rangeBetween(Window.unboundedPreceding, -edge)),
+        "_after": F.first(pair).over(by.rangeBetween(-edge + 1, 0)),
+        "_first": F.first(pair).over(by.rangeBetween(Window.unboundedPreceding, 0)),
+    })
+    start = F.when(F.col("_before").isNull(), F.col("_first._us")).otherwise(F.col("_us") - edge)
+    share = (F.col("_us") - edge - F.col("_before._us")) / (F.col("_after._us") - F.col("_before._us"))
+    base = F.when(F.col("_before").isNull(), F.col("_first.d")).otherwise(F.col("_before.d") + (F.col("_after.d") - F.col("_before.d")) * share)
+    spent = (F.col("_us") - start) / 1e6
+    return rows.withColumn("rate", F.when(spent > 0, (F.col(done) - base) / spent)).drop("_us", "_before", "_after", "_first")

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shutterloom.functions import vectors as V
 from shutterloom.functions.words import tokens
+from shutterloom.operators.text_index import TextIndex
 
 UNBOUNDED = 1000.0
 
@@ -50,29 +56,59 @@ def phrase_count(text: Column, phrase: str) -> Column:
     return F.regexp_count(F.lower(text), F.lit(f"(?={re.escape(p)})"))
 
 
-def bm25(rows: DataFrame, phrases: list[str], text: str = "content") -> DataFrame:
-    """rows with score (negative, lower is better): trigram lengths, statistics over all rows in one pass.
+def bm25(rows: DataFrame, phrases: list[str], where: Column | None = None, text: str = "content", index: TextIndex | None = None) -> DataFrame:
+    """rows (those of ``where``) with score (negative, lower is better): trigram lengths, statistics over all rows.
 
-    The statistics are one row; they come back to the rows as literals, so the scan is not joined with anything."""
+    The statistics are one row; they come back to the rows as literals, so the scan is not joined with anything.
+    Containment decides first, so occurrences are counted in hits only. With an index the number of rows and their average
+    length are kept, and both passes read the candidates alone."""
     length = F.greatest(F.length(text) - 2, F.lit(0))
     wanted = [p for p in phrases if len(p) >= 3]
-    stats = rows.agg(F.count("*").alias("n"), F.avg(length).alias("avg"), *[F.count_if(phrase_count(F.col(text), p) > 0).alias(f"d{i}") for i, p in enumerate(wanted)]).first()
+    low = F.lower(text)
+    held = [F.count_if(F.contains(low, F.lit(p.lower()))).alias(f"d{i}") for i, p in enumerate(wanted)]
+    hits = rows if where is None else rows.where(where)
+    if index is not None:
+        near = index.narrowed(rows, wanted)
+        stats = (near.agg(*held).first().asDict() if held else {}) | {"n": index.statistics["n"], "avg": index.statistics["average"]}
+        hits = near if where is None else near.where(where)
+    else:
+        stats = rows.agg(F.count("*").alias("n"), F.avg(length).alias("avg"), *held).first()
     score = F.lit(0.0)
     for i, p in enumerate(wanted):
         idf = F.log(F.lit((stats["n"] - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5)))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         f = phrase_count(F.col(text), p).cast("double")
         score = score - idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length / F.lit(float(stats["avg"] or 1.0))))
-    return rows.withColumn("score", score)
+    return hits.withColumn("score", score)
 
 
-def simple(rows: DataFrame, query: str, limit: int | None = None, text: str = "content") -> DataFrame:
+def simple(rows: DataFrame, query: str, limit: int | None = None, text: str = "content", index: TextIndex | None = None) -> DataFrame:
     """The whole query as one phrase (three characters at least; a star stands for backslash-star)."""
     phrase = query.replace("*", "\\*")
     if len(phrase) < 3:
-        return bm25(rows, [], text).where(F.lit(False))
-    scored = bm25(rows, [phrase], text).where(F.contains(F.lower(text), F.lit(phrase.lower())))
-    return _ranked(scored, limit)
+        return rows.where(F.lit(False)).withColumn("score", F.lit(0.0))
+    return _ranked(bm25(rows, [phrase], F.contains(F.lower(text), F.lit(phrase.lower())), text, index), limit)
+
+
+def count_simple(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
+    """total: how many rows the mode matches, without scoring them."""
+    phrase = query.replace("*", "\\*")
+    hits = rows.where(F.contains(F.lower(text), F.lit(phrase.lower())) if len(phrase) >= 3 else F.lit(False))
+    return hits.agg(F.count("*").alias("total"))
+
+
+def count_match(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
+    return rows.where(Expression(query).column_of(F.col(text))).agg(F.count("*").alias("total"))
+
+
+def count_glob(rows: DataFrame, query: str, text: str = "content") -> DataFrame:
+    pattern = word_glob_regex(query.lower())
+    return rows.where(F.exists(tokens(F.col(text)), lambda w: w.rlike(pattern))).agg(F.count("*").alias("total"))
+
+
+def count_regex(rows: DataFrame, pattern: str, text: str = "content") -> DataFrame:
+    check_regex(pattern)
+    return rows.where(F.col(text).rlike(pattern)).agg(F.count("*").alias("total"))
 
 
 def _ranked(scored: DataFrame, limit: int | None) -> DataFrame:
@@ -81,7 +117,11 @@ def _ranked(scored: DataFrame, limit: int | None) -> DataFrame:
 
 
 class Expression:
-    """phrase, "quoted phrase", AND (or nothing), OR, NOT, parentheses; NOT binds closest, then AND, then OR."""
+    """phrase, "quoted phrase", phrase*, ^phrase, NEAR(phrase phrase, n), AND (or nothing), OR, NOT, parentheses; NOT binds
+    closest, then AND, then OR.
+
+    Texts are indexed by trigrams, so a star after a phrase of three characters or more changes nothing, a caret asks for the text's beginning, and
+    NEAR (n is 10 if not given) counts the trigrams between the end of the first phrase and the start of the last."""
 
     def __init__(self, source: str):
         self.items = re.findall(r'"((?:[^"]|"")*)"|([()])|([^\s()"]+)', source)
@@ -136,19 +176,78 @@ class Expression:
                 raise QuerySyntaxError("a parenthesis is not closed")
             self.at += 1
             return inner
-        phrase = p[1:].replace('""', '"') if p.startswith('"') else p.removeprefix("content:")
-        if not phrase.startswith('"') and re.search(r"[*^+]", phrase) and not p.startswith('"'):
-            raise QuerySyntaxError(f"not supported: {phrase}")
+        if p == "NEAR" and self._peek() == "(":
+            return self._near(counts)
+        first = p.startswith("^")
+        phrase = self._phrase(p[1:] if first and len(p) > 1 else self._next() if first else p)
         if counts:
             self.phrases.append(phrase)
         folded = phrase.lower()
-        return lambda t: F.contains(F.lower(t), F.lit(folded)) if len(folded) >= 3 else F.lit(False)
+        if len(folded) < 3:
+            return lambda t: F.lit(False)
+        return (lambda t: F.lower(t).startswith(folded)) if first else (lambda t: F.contains(F.lower(t), F.lit(folded)))
+
+    def _next(self) -> str:
+        p = self._peek()
+        if p is None or p in ("(", ")"):
+            raise QuerySyntaxError("a phrase is missing")
+        self.at += 1
+        return p
+
+    def _phrase(self, p: str) -> str:
+        """A phrase as it stands at this place; a star that follows goes with it."""
+        if p.startswith('"'):
+            phrase = p[1:].replace('""', '"')
+            if self._peek() == "*":
+                self.at += 1
+            return phrase
+        phrase = p.removeprefix("content:").removesuffix("*")
+        if re.search(r"[*^+]", phrase):
+            raise QuerySyntaxError(f"not supported: {phrase}")
+        return phrase
+
+    def _near(self, counts: bool):
+        self.at += 1
+        phrases, within = [], 10
+        while (p := self._peek()) != ")":
+            if p is None:
+                raise QuerySyntaxError("a parenthesis is not closed")
+            self.at += 1
+            comma = not p.startswith('"') and p.endswith(",")
+            if p != ",":
+                phrases.append(self._phrase(p.rstrip(",") if comma else p))
+            if comma:
+                number = self._next()
+                if not number.isdigit() or self._peek() != ")":
+                    raise QuerySyntaxError("NEAR takes one whole number")
+                within = int(number)
+        self.at += 1
+        if not phrases:
+            raise QuerySyntaxError("NEAR takes a phrase or more")
+        if counts:
+            self.phrases += phrases
+        folded = [p.lower() for p in phrases]
+        if any(len(p) < 3 for p in folded):
+            return lambda t: F.lit(False)
+        ways = []
+        for i, first in enumerate(folded):  # the phrase that begins the group, the others from there on
+            reach = len(first) - 2 + within
+            ways.append(f"(?={re.escape(first)})" + "".join(f"(?=.{{0,{reach}}}{re.escape(p)})" for j, p in enumerate(folded) if j != i))
+        pattern = f"(?s)(?:{'|'.join(ways)})"
 
+        def holds(t: Column) -> Column:
+            low = F.lower(t)
+            return reduce(lambda a, b: a & b, (F.contains(low, F.lit(p)) for p in folded)) & low.rlike(pattern)
 
-def match(rows: DataFrame, query: str, limit: int | None = None, text: str = "content") -> DataFrame:
+        return holds
+
+
+def match(rows: DataFrame, query: str, limit: int | None = None, text: str = "content", index: TextIndex | None = None) -> DataFrame:
     """A full-text expression; the score sums over its positive phrases."""
     e = Expression(query)
-    return _ranked(bm25(rows, e.phrases, text).where(e.column_of(F.col(text))), limit)
+    # a hit holds a positive phrase; without one of three characters no index helps
+    usable = index if any(len(p) >= 3 for p in e.phrases) else None
+    return _ranked(bm25(rows, e.phrases, e.column_of(F.col(text)), text, usable), limit)
 
 
 def postings(rows: DataFrame, text: str = "content") -> DataFrame:
@@ -205,13 +304,30 @@ def regex(rows: DataFrame, pattern: str, limit: int | None = None, text: str = "
 # --- vectors
 
 
-def with_total(hits: DataFrame, limit: int, *order: Column) -> DataFrame:
-    """The first rows in order, each with the total number of hits; one pass, the total is a row even without hits.
-
-    The top-k and the count are both partial aggregates; only k narrow rows and a number leave the tasks."""
-    hits = hits.withColumn("_n", F.lit(1))
-    totals = hits.agg(F.count("*").alias("total"))
-    return totals.join(hits.orderBy(*order).limit(limit).drop("_n"), F.lit(True), "left")
+def with_total(hits: DataFrame, limit: int, *order: str) -> DataFrame:
+    """The first rows in order (column names, "-name" for descending), each with the total number of hits; the total is a
+    row even without hits.
+
+    One pass: each task keeps the first of its own hits and counts them all, and of those few the first are taken."""
+    columns, keep = hits.columns, max(limit, 1)
+    keys = [(o.lstrip("-"), "descending" if o.startswith("-") else "ascending") for o in order]
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, n = None, 0
+        for batch in batches:
+            n += batch.num_rows
+            rows = pa.Table.from_batches([batch])
+            rows = rows if best is None else pa.concat_tables([best, rows])
+            best = rows.take(pc.sort_indices(rows, sort_keys=keys, null_placement="at_start")[:keep])
+        if best is not None and n:
+            yield from best.append_column("_hits", pa.array([n] + [0] * (best.num_rows - 1), pa.int64())).combine_chunks().to_batches()
+
+    kept = hits.mapInArrow(firsts, T.StructType([*hits.schema.fields, T.StructField("_hits", T.LongType())]))
+    every = Window.partitionBy(F.lit(0))  # at most the limit from each task
+    ordered = every.orderBy(*[F.desc(c) if way == "descending" else F.asc(c) for c, way in keys])
+    top = kept.withColumns({"total": F.sum("_hits").over(every), "_place": F.row_number().over(ordered)}).where(F.col("_place") <= keep)
+    shown = top.select(F.lit(0).alias("_none"), "total", *[c if limit else F.lit(None).cast(top.schema[c].dataType).alias(c) for c in columns])
+    return hits.sparkSession.range(1).select(F.lit(0).alias("_none")).join(shown, "_none", "left").select(F.coalesce("total", F.lit(0)).alias("total"), *columns)
 
 
 def text_vectors(vectors: DataFrame, recognised: DataFrame, query: list[float], space: str, ceiling: float = UNBOUNDED) -> DataFrame:

@@ -243,7 +243,7 @@ def _text_hits(spark, folder, place: int = 0) -> DataFrame:
 @query(f"WITH {TXT}, {QV.format(n=0)}, {TEXT_HITS} SELECT asset_id, round(distance, 6) AS distance, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY round(distance, 9), source_modified_ns DESC, asset_id LIMIT 50")
 def text_vector_search(spark, folder):
     hits = _text_hits(spark, folder).select("asset_id", F.round("distance", 9).alias("distance"), "source_modified_ns")
-    return search.with_total(hits, 50, F.col("distance"), F.desc("source_modified_ns"), F.col("asset_id")).select("asset_id", F.round("distance", 6).alias("distance"), "total")
+    return search.with_total(hits, 50, "distance", "-source_modified_ns", "asset_id").select("asset_id", F.round("distance", 6).alias("distance"), "total")
 
 
 @query(f"WITH {TXT}, {QV.format(n=0)}, {TEXT_HITS} SELECT asset_id, round(distance, 6) AS distance, substring(content, 1, 240) AS excerpt FROM hits WHERE distance <= 0.9")
@@ -255,7 +255,7 @@ def text_vector_ceiling(spark, folder):
 @query(f"WITH {TXT}, {QV.format(n=0)}, {TEXT_HITS} SELECT (SELECT count(*) FROM hits) AS total, CAST(NULL AS BIGINT) AS asset_id")
 def vector_total_limit_zero(spark, folder):
     hits = _text_hits(spark, folder).select("asset_id", "distance")
-    return search.with_total(hits, 0, F.col("distance")).select("total", "asset_id")
+    return search.with_total(hits, 0, "distance").select("total", "asset_id")
 
 
 IMAGE_Q = "q AS (SELECT min(embedding)::DOUBLE[] AS v FROM image_embedding_samples WHERE " + USABLE.format(w=96) + " GROUP BY embedding_id ORDER BY embedding_id LIMIT 1)"

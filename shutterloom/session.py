@@ -39,6 +39,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any Hadoop file system exists."""
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers n of the entries v<n> of a folder; none if it does not exist."""
+    fs, p = _at(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
 _shipped: set[str] = set()
 
 

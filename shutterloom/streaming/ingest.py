@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.operators import catalog
+from shutterloom.session import exists
 
 
 def sightings_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -24,14 +24,15 @@ def ingest(stream: DataFrame, store: str, checkpoint: str, done: Callable[[DataF
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = os.path.join(store, f"v{number}")
+        before = f"{store.rstrip('/')}/v{number}"
         found = catalog.current(batch).drop("seen_at").dropDuplicates(["path"])
-        if os.path.isdir(before):
+        if number:
+            if not exists(spark, f"{before}/_SUCCESS"):
+                raise FileNotFoundError(f"batch {number} begins from a catalog that is not there: {before}")
             after = catalog.upsert(spark.read.parquet(before), found)
         else:
-            empty = found.where(F.lit(False))
-            after = catalog.upsert(empty, found)
-        after.write.mode("overwrite").parquet(os.path.join(store, f"v{number + 1}"))
+            after = catalog.upsert(found.where(F.lit(False)), found)
+        after.write.mode("overwrite").parquet(f"{store.rstrip('/')}/v{number + 1}")
         if done:
             done(after, number)
 

@@ -103,16 +103,23 @@ def test_tokens_and_truncation(spark):
 
 
 def test_highlights():
-    text = "Notice: regulatlons covering new construction projects, inspected weekly."
-    got = [(text[s["start"] : s["end"]], s["kind"]) for s in highlight.Highlighter("construction regulations inspecting").spans(text)]
-    assert got == [("regulatlons", "fuzzy"), ("construction", "exact"), ("inspected", "stem")]
-    phrase = "new construction regulations here"
-    (one,) = highlight.Highlighter("construction regul").spans(phrase)
-    assert phrase[one["start"] : one["end"]] == "construction regulations" and one["kind"] == "exact"
-    assert highlight.Highlighter("the and of").spans(text) == [] and highlight.Highlighter("x").spans(None) == []
-    plain, spans = highlight.parse_marked("a [coffee] shop [receipt] for [50")
-    assert plain == "a coffee shop receipt for [50" and [plain[s["start"] : s["end"]] for s in spans] == ["coffee", "receipt"]
-    assert "[needle]" in highlight.snippet("x " * 200 + "needle " + "y " * 200, {"needle"})
+    text = "Sailors repaired the mooring ropes; a moorinq post was painted twice."
+    marks = highlight.Highlighter("repairing paint").spans(text)
+    assert [(text[m["start"] : m["end"]], m["kind"]) for m in marks] == [("repaired", "stem"), ("painted", "stem")]
+    marks = highlight.Highlighter("mooring").spans(text)
+    assert [(text[m["start"] : m["end"]], m["kind"]) for m in marks] == [("mooring", "exact"), ("moorinq", "fuzzy")]
+    # neighbours are one span, of the stronger kind; the start of a word is evidence from three letters on
+    (one,) = highlight.Highlighter("mooring rop").spans(text)
+    assert text[one["start"] : one["end"]] == "mooring ropes" and one["kind"] == "exact"
+    assert highlight.Highlighter("ro").spans(text) == [] == highlight.Highlighter("with the").spans(text)
+    assert highlight.Highlighter("rope").spans(None) == []
+
+
+def test_markers_and_snippets():
+    plain, spans = highlight.parse_marked("[tide] tables, [] page ]3[ of [harbour] notes [")
+    assert plain == "tide tables,  page ]3 of [harbour notes ["
+    assert [plain[s["start"] : s["end"]] for s in spans][0] == "tide" and all(s["kind"] == "indexed" for s in spans)
+    assert "[buoy]" in highlight.snippet("wave " * 150 + "buoy " + "foam " * 90, {"buoy"})
 
 
 def test_distinct_frames(spark):

@@ -350,10 +350,12 @@ def late_text(top: DataFrame, recognised: DataFrame, characters: int = 240) -> D
 
 
 def image_vectors(samples: DataFrame, state: DataFrame, assets: DataFrame, query: list[float]) -> DataFrame:
-    """asset_id, embedding_id, timestamp_ms, distance, and the asset's columns, of all current samples."""
-    scored = samples.select("embedding_id", "asset_id", "timestamp_ms", V.distance_to(query)(F.col("embedding")).alias("distance")).where(F.col("distance").isNotNull()).distinct()
-    known = state.select(*fingerprint(), "sampling_version").distinct()
-    return scored.join(assets.join(known, fingerprint()), "asset_id").where(media_current())
+    """asset_id, embedding_id, timestamp_ms, distance, and the asset's columns, of all current samples; a repeated sample is
+    a repeated row. The distance is computed in the scan, and the catalog side shrinks by a semi join before it is joined."""
+    scored = samples.select("embedding_id", "asset_id", "timestamp_ms", V.distance_to(query)(F.col("embedding")).alias("distance")).where(F.col("distance").isNotNull())
+    version = F.when(F.col("media_kind") == "image", 0).when(F.col("media_kind") == "video", 4)
+    known = assets.withColumn("sampling_version", version).join(state.select(*fingerprint(), "sampling_version"), [*fingerprint(), "sampling_version"], "left_semi")
+    return scored.join(known, "asset_id").where(media_current())
 
 
 def best_frame(hits: DataFrame) -> DataFrame:

@@ -81,8 +81,8 @@ def in_reconcile_scope(path: Column, root: str, recursive: bool = True, exclude:
         body = glob_regex(p).removeprefix("^").removesuffix("$")
         # the path itself or a folder on the way to it, the root included
         parts = F.split(path, "/")
-        ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n, parts=parts: F.array_join(F.slice(parts, 1, n), "/"))
-        got = got & ~F.exists(ways, lambda w, body=body: (F.length(w) >= len(base) - 1) & w.rlike(f"^{body}$"))
+        ways = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))  # noqa: B023
+        got = got & ~F.exists(ways, lambda w: (F.length(w) >= len(base) - 1) & w.rlike(f"^{body}$"))  # noqa: B023
     return got
 
 

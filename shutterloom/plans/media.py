@@ -44,7 +44,17 @@ def _usable(c: str, width: int):
 
 
 def query_vector(spark: SparkSession, folder: str, name: str = "ocr_embedding_state", key: str = "asset_id", width: int = 64, place: int = 0) -> list[float]:
-    """The usable vector of the smallest id, or the next ones."""
+    """The usable vector of the smallest id, or the next ones. Looked up once in an application, as a caller has its query."""
+    at = (spark.sparkContext.applicationId, folder, name, key, width, place)
+    if at not in _vectors:
+        _vectors[at] = _query_vector(spark, folder, name, key, width, place)
+    return _vectors[at]
+
+
+_vectors: dict[tuple, list[float]] = {}
+
+
+def _query_vector(spark, folder, name, key, width, place) -> list[float]:
     rows = table(spark, folder, name)
     if name == "ocr_embedding_state":
         rows = rows.where(F.col("space") == "ocrText")
@@ -627,18 +637,6 @@ def ctc_decode(spark, folder):
     return frames.ctc(steps, ["A", "B", "C", "D"]).withColumn("score", F.round("score", 6))
 
 
-@query()
-def distinct_frames(spark, folder):
-    rows = table(spark, folder, "image_embedding_samples").where(_usable("embedding", 96) & F.col("asset_id").isNotNull())
-    return frames.distinct_frames(rows.select("asset_id", "embedding_id", "timestamp_ms", "embedding").dropDuplicates(["embedding_id"]))
-
-
-@query()
-def reading_order(spark, folder):
-    boxes = table(spark, folder, "thumbnails").select(F.col("asset_id").alias("page"), (F.col("size_bucket") + F.col("generator_version")).cast("long").alias("box"), F.col("width").cast("double").alias("x"), F.col("height").cast("double").alias("y"))
-    return frames.reading_order(boxes.where("page IS NOT NULL").distinct())
-
-
 @query()
 def highlights(spark, folder):
     return txt(spark, folder).select("asset_id", highlight.highlights(F.col("content"), "restored harbours and the telescopes").alias("spans")).where(F.size("spans") > 0)

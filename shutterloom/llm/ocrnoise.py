@@ -19,6 +19,7 @@ contents, each is read for itself and the lines that any of them marks are given
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,28 +27,32 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shutterloom.llm import ocrlines
 from shutterloom.llm.boosting import Boosted
 from shutterloom.session import cut, written
 
 SAMPLE = 20_000
+#: Contents whose lines the practice pages of the line-pair classifiers are made of.
+PAGES = 300
 #: A correction is at least so many times as frequent as the word, and occurs at least so often.
 MARGIN, KNOWN = 4, 4
 SHORTEST = 3
 PARSED = "asset_id long, kind string, line int, next int, word string, right string, mark string, capital int, inside int"
-#: Digits that stand for letters and back (fixed values).
-NUMBER = re.compile(r"(?=.*\d)(?=.*[lOI])[0-9lOI]+")
+#: Letters that digits are misread as (fixed values).
+NUMBER, AS_LETTERS, AS_DIGITS = r"^(?=.*\d)(?=.*[lOI])[0-9lOI]+$", "lIO", "110"
 
 
-def parsed(texts: DataFrame) -> DataFrame:
+def parsed(texts: DataFrame, furniture: ocrlines.Furniture) -> DataFrame:
     """Rows of kind N (furniture: word is its name), J (possible join), W (word), C (compound). Lines count from 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for asset, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found, joins, words, compounds = ocrlines.parse(content)
+            contents = [c.split("\n") for c in batch.column(1).to_pylist()]
+            for asset, lines, found in zip(batch.column(0).to_pylist(), contents, furniture.decide(contents)):
+                joins, words, compounds = ocrlines.parse(lines, found)
                 rows += [(asset, "N", i + 1, None, name, None, None, 0, 0) for i, names in found.items() for name in names]
                 rows += [(asset, "J", j.line + 1, j.next + 1, j.left, j.right, j.mark, 0, 0) for j in joins]
                 rows += [(asset, "W", w.line + 1, None, w.word, None, None, int(w.capital), int(w.inside)) for w in words]
@@ -66,14 +71,67 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return one.unionByName(joined).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "capital", "inside")])
 
 
-def _q(length):
-    """The q-gram length for a word: so that a change of two characters leaves its first or its last q-gram."""
-    return F.when(length <= 4, 2).when(length <= 7, 3).otherwise(4)
+#: Hashed counts of q-grams: the order of a word's q-grams is taken from a table of this many, so its size is fixed.
+GRAMS = 1 << 18
 
 
-def _ends(size: int):
-    """The first and the last q-gram, the word's border included."""
-    return F.array(F.concat(F.lit("^"), F.left("word", F.lit(size - 1))), F.concat(F.right("word", F.lit(size - 1)), F.lit("$")))
+def numbered_grams(word: str, q: int) -> list[str]:
+    """The word's q-grams, its borders included; a repeated one is told apart by a number."""
+    padded, seen, out = f"^{word}$", {}, []
+    for i in range(len(padded) - q + 1):
+        g = padded[i : i + q]
+        seen[g] = seen.get(g, -1) + 1
+        out.append(g if not seen[g] else f"{g}{seen[g]}")
+    return out
+
+
+def sizes_of(length: int, reach: int = 0) -> list[int]:
+    """The q of words of this length; also those of words that differ by ``reach`` in length."""
+    return sorted({2 if n <= 4 else 3 for n in range(length - reach, length + reach + 1)})
+
+
+def _slot(gram: str) -> int:
+    return zlib.crc32(gram.encode()) & (GRAMS - 1)
+
+
+def gram_counts(known: DataFrame) -> np.ndarray:
+    """How many known words have each q-gram, hashed into GRAMS counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GRAMS, np.int64)
+        for batch in batches:
+            for word in batch.column(0).to_pylist():
+                for q in sizes_of(len(word), 1):
+                    for g in numbered_grams(word, q):
+                        total[_slot(g)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    rows = known.select("word").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(GRAMS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def rarest(words: DataFrame, counts, reach: int) -> DataFrame:
+    """words (word, ...) with gram: the q + 2 rarest q-grams of each. A change of one part of two characters spoils q + 1
+    q-grams at most, so a word and its correction share one of these."""
+    columns = words.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counts.value
+        for batch in batches:
+            row, grams = [], []
+            for i, word in enumerate(batch.column(0).to_pylist()):
+                for q in sizes_of(len(word), reach):
+                    ordered = sorted(numbered_grams(word, q), key=lambda g: (count[_slot(g)], g))[: q + 2]
+                    row += [i] * len(ordered)
+                    grams += [f"{q}{g}" for g in ordered]
+            out = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(grams, pa.string())], names=[*columns, "gram"])
+
+    schema = T.StructType([*words.schema.fields, T.StructField("gram", T.StringType())])
+    return words.mapInArrow(run, schema)
 
 
 def confusion(word: str, right: str) -> tuple[str, str]:
@@ -91,17 +149,14 @@ def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     """word, right, n, m, capital, inside, named, good, bad: candidates right (of ``known``) of each word, m their counts,
     named their share inside; good -> bad the confusion (at most 2 characters each).
 
-    The inverted index holds the q-grams at either end of a word, for which a word with one changed part must agree with
-    its correction at one end at least; q grows with the length, so the lists stay short."""
-    length = F.length("word")
-    readable = (length.between(SHORTEST, 64)) & F.col("word").rlike(r"\p{L}")
-    ends = F.when(_q(length) == 2, _ends(2)).when(_q(length) == 3, _ends(3)).otherwise(_ends(4))
-    query = words.where(readable).select("word", "n", "capital", "inside", F.explode(ends).alias("gram"))
-    fits = lambda size: (_q(length - 1) == size) | (_q(length) == size) | (_q(length + 1) == size)
-    no = F.array().cast("array<string>")
-    grams = F.concat(*[F.when(fits(size), _ends(size)).otherwise(no) for size in (2, 3, 4)])
+    An inverted index over all q-grams of the known words, joined on the rarest of either side (rare-first prefixes), so
+    posting lists are short and no candidate is lost. A hot q-gram is only looked up by words that have nothing rarer."""
+    readable = (F.length("word") >= SHORTEST) & F.col("word").rlike(r"\p{L}")
     trusted = known.where(readable & (F.col("n") >= KNOWN) & ~F.col("word").rlike(r"\d"))
-    index = trusted.select(F.col("word").alias("right"), F.col("n").alias("m"), (F.col("inside") / F.col("n")).alias("named"), F.explode(F.array_distinct(grams)).alias("gram"))
+    counts = words.sparkSession.sparkContext.broadcast(gram_counts(trusted))  # 2 MB, whatever the data
+    query = rarest(words.where(readable).select("word", "n", "capital", "inside"), counts, 0)
+    index = rarest(trusted.select("word", "n", (F.col("inside") / F.col("n")).alias("named")), counts, 1)
+    index = index.withColumnsRenamed({"word": "right", "n": "m"})
     near = (F.abs(F.length("word") - F.length("right")) <= 1) & (F.col("m") >= MARGIN * F.greatest("n", F.lit(1))) & (F.col("word") != F.col("right"))
     pairs = query.join(index, "gram").where(near)
 
@@ -116,7 +171,7 @@ def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.select("word", "right", "n", "m", "capital", "inside", "named").mapInArrow(differ, "word string, right string, n long, m long, capital long, inside long, named double, good string, bad string").distinct()
 
 
-FEATURES = ("support", "reverse", "ratio", "n", "length", "mixed", "inside", "named", "shift")
+FEATURES = ("support", "reverse", "ratio", "n", "length", "mixed", "inside", "named", "shift", "number", "letters")
 
 
 def features(t: pd.DataFrame) -> np.ndarray:
@@ -125,7 +180,7 @@ def features(t: pd.DataFrame) -> np.ndarray:
     word = t["word"].astype(str)
     mixed = word.str.contains(r"\d") & word.str.contains(r"[^\W\d_]")
     shift = t["bad"].str.len() - t["good"].str.len()
-    return np.stack([np.log1p(t["support"].to_numpy(float)), np.log1p(t["reverse"].to_numpy(float)), np.log(t["m"].to_numpy(float) / n), np.log(n), word.str.len().to_numpy(float), mixed.to_numpy(float), (t["inside"].to_numpy(float) / n), t["named"].to_numpy(float), shift.to_numpy(float)], 1)
+    return np.stack([np.log1p(t["support"].to_numpy(float)), np.log1p(t["reverse"].to_numpy(float)), np.log(np.maximum(t["m"].to_numpy(float), 0.5) / n), np.log(n), word.str.len().to_numpy(float), mixed.to_numpy(float), (t["inside"].to_numpy(float) / n), t["named"].to_numpy(float), shift.to_numpy(float), t["right"].astype(str).str.isdigit().to_numpy(float), word.str.count(r"[^\W\d_]").to_numpy(float) / np.maximum(word.str.len(), 1)], 1)
 
 
 def supported(pairs: DataFrame) -> DataFrame:
@@ -141,7 +196,38 @@ def supported(pairs: DataFrame) -> DataFrame:
     return pairs.join(support, ["good", "bad"]).join(back, ["good", "bad"], "left").fillna({"reverse": 0})
 
 
-def train_ranker(pairs: DataFrame, words: DataFrame, seed: int = 11) -> Boosted:
+def number_pairs(rows: DataFrame) -> DataFrame:
+    """Candidates of numbers with letters among their digits, as supported() has them: the number they would be. Their words
+    keep capitals."""
+    single = rows.where("kind = 'W'").select("word", "inside", "capital")
+    mixed = single.where(F.col("word").rlike(NUMBER)).groupBy("word").agg(F.count("*").alias("n"), F.sum("capital").alias("capital"), F.sum("inside").alias("inside"))
+    mixed = mixed.withColumn("right", F.translate("word", AS_LETTERS, AS_DIGITS))
+    known = single.where(F.col("word").rlike(r"^\d+$")).groupBy("word").agg(F.count("*").alias("m")).withColumnRenamed("word", "right")
+    letter = F.regexp_extract("word", "[lOI]", 0)
+    pairs = mixed.join(known, "right", "left").withColumns({"m": F.coalesce("m", F.lit(0)), "named": F.lit(0.0), "bad": letter, "good": F.translate(letter, AS_LETTERS, AS_DIGITS), "reverse": F.lit(0).cast("long")})
+    support = pairs.groupBy("good", "bad").agg(F.count("*").alias("support"))
+    return pairs.join(support, ["good", "bad"]).select("good", "bad", "word", "right", "n", "m", "capital", "inside", "named", "support", "reverse")
+
+
+def practice_numbers(rows: DataFrame, rng: np.random.Generator) -> list[tuple]:
+    """Numbers of the corpus misread on purpose, and codes of digits and other letters that are as they should be."""
+    some = rows.where("kind = 'W'").where(F.col("word").rlike(r"\d")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.xxhash64("word"), "word").limit(SAMPLE // 8).toPandas()
+    out = []
+    for word, n in zip(some["word"], some["n"]):
+        n = int(n)
+        if word.isdigit():
+            at = [i for i, c in enumerate(word) if c in AS_DIGITS]
+            if len(word) > 1 and at:
+                i = int(rng.choice(at))
+                b = str(rng.choice([a for a, d in zip(AS_LETTERS, AS_DIGITS) if d == word[i]]))
+                out.append((word[:i] + b + word[i + 1 :], word, max(1, n // 50), n, 0, 0, 0.0, word[i], b, int(rng.integers(1, 400)), 0, 1))
+        elif not re.fullmatch(NUMBER, word):
+            letters = [c for c in word if not c.isdigit()]
+            out.append((word, re.sub(r"\D", "1", word), n, 0, 0, 0, 0.0, "1", letters[0], 1, 0, 0))
+    return out
+
+
+def train_ranker(pairs: DataFrame, words: DataFrame, rows_parsed: DataFrame, seed: int = 11) -> Boosted:
     """From words misread on purpose with the corpus's own confusions, and from pairs of words that are both right.
 
     A misread word stands in capitals as often as its correction does. A capitalised word whose candidate mostly does not,
@@ -167,21 +253,23 @@ def train_ranker(pairs: DataFrame, words: DataFrame, seed: int = 11) -> Boosted:
     # the same confusions do not occur: pairs of frequent words, one of them counted as rare
     for r in right[right["n"] * 12 > right["m"]].itertuples():
         rows.append((r.word, r.right, max(1, r.n // 8), r.m, r.capital, r.inside, r.named, r.good, r.bad, min(r.support, 2), 0, 0))
+    rows += practice_numbers(rows_parsed, rng)
     t = pd.DataFrame(rows, columns=["word", "right", "n", "m", "capital", "inside", "named", "good", "bad", "support", "reverse", "y"])
     return Boosted().fit(features(t), t["y"].to_numpy(float))
 
 
-def corrections(words: DataFrame) -> DataFrame:
-    """word, correction, start (place of the misread character in the word)."""
+def corrections(words: DataFrame, rows: DataFrame) -> DataFrame:
+    """word (in small letters, but for numbers), correction, start (place of the misread character in the word)."""
     pairs = written(supported(written(candidates(words, words))))
-    model = train_ranker(pairs, words)
+    model = train_ranker(pairs, words, rows)
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             yield pd.DataFrame({"word": t["word"], "right": t["right"], "m": t["m"], "support": t["support"], "start": [next((i for i, (a, b) in enumerate(zip(w, r)) if a != b), min(len(w), len(r))) for w, r in zip(t["word"], t["right"])], "score": model.predict(features(t))})
 
-    # a confusion that one pair alone shows is no evidence
-    scored = pairs.where("support >= 2 OR reverse > 0").mapInPandas(rank, "word string, right string, m long, support long, start int, score double")
+    every = pairs.unionByName(number_pairs(rows).select(*pairs.columns))
+    # a confusion of letters that one pair of words alone shows is no evidence: most such pairs are names
+    scored = every.where(r"support >= 2 OR reverse > 0 OR right RLIKE '^\d+$'").mapInPandas(rank, "word string, right string, m long, support long, start int, score double")
     best = scored.where("score >= 0.5").groupBy("word").agg(F.max(F.struct("support", "score", "m", "right", "start")).alias("b"))
     return best.select("word", F.col("b.right").alias("correction"), F.col("b.start").alias("start"))
 
@@ -240,19 +328,22 @@ def _texts(recognised: DataFrame) -> DataFrame:
 
 def _decisions(recognised: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Parsed rows, decided joins, and (asset_id, line, word, correction) of the misread words."""
-    rows = written(parsed(_texts(recognised)))
+    texts = _texts(recognised)
+    drawn = texts.where(F.length("content") < 100_000).orderBy(F.xxhash64("asset_id"), "asset_id").limit(PAGES)
+    furniture = ocrlines.train_furniture(sorted(r.content for r in drawn.select("content").collect()))
+    rows = written(parsed(texts, furniture))
     words = written(vocabulary(rows))
-    fixes = cut(corrections(words))
+    fixes = cut(corrections(words, rows))
     joins = written(decided_joins(rows, words, fixes))
     single = rows.where("kind = 'W'").select("asset_id", "line", "word", F.lower("word").alias("low"))
     pieces = joins.where(~F.col("is_join")).select("asset_id", F.explode(F.array(F.struct("line", F.col("left").alias("word")), F.struct(F.col("next").alias("line"), F.col("right").alias("word")))).alias("p"))
     pieces = pieces.select("asset_id", "p.line", F.explode(F.split("p.word", "-")).alias("word")).withColumn("low", F.lower("word"))
-    misread = single.unionByName(pieces).join(fixes.select(F.col("word").alias("low"), "correction"), "low").select("asset_id", "line", "word", "correction")
-    numbers = rows.where((F.col("kind") == "W") & F.col("word").rlike(NUMBER.pattern.join(("^", "$")))).select("asset_id", "line", "word", F.translate("word", "lIO", "110").alias("correction"))
+    spelled = single.unionByName(pieces).withColumn("low", F.when(F.col("word").rlike(NUMBER), F.col("word")).otherwise(F.col("low")))
+    misread = spelled.join(fixes.select(F.col("word").alias("low"), "correction"), "low").select("asset_id", "line", "word", "correction")
     in_join = joins.where("is_join").join(fixes, "word")
     where = F.when(F.col("start") < F.length("left"), F.col("line")).otherwise(F.col("next"))
     across = in_join.select("asset_id", where.alias("line"), F.concat("left", "right").alias("word"), "correction")
-    return rows, joins, misread.unionByName(numbers).unionByName(across)
+    return rows, joins, misread.unionByName(across)
 
 
 def noise(recognised: DataFrame) -> DataFrame:

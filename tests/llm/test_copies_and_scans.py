@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -57,12 +58,39 @@ PAGE = "\n".join(
 )
 
 
-def test_furniture_and_joins():
-    found, joins, found_words, compounds = ocrlines.parse(PAGE)
+SAMPLE = [
+    "The orchard was measured twice in spring.\nNobody came to the quay before noon, so\nthe boats were left alone.\nQuiet Gardens Of The North\nthe bell rang",
+    "A second survey of the harbour followed\nin autumn. It found the wall in good\norder, and the gate as well.\nLetters To A Friend\n12 people were there",
+    "Rain fell on the market for a week\nand the stalls stayed shut.\nOld Maps Of The River\nThe clerk wrote it all down.",
+]
+
+
+@pytest.fixture(scope="module")
+def furniture():
+    return ocrlines.train_furniture(SAMPLE)
+
+
+def test_furniture_and_joins(furniture):
+    lines = PAGE.split("\n")
+    (found,) = furniture.decide([lines])
+    joins, found_words, compounds = ocrlines.parse(lines, found)
     assert {i: sorted(k) for i, k in found.items()} == {0: ["pageno"], 1: ["header"], 6: ["pageno"], 7: ["header"], 9: ["pageno"], 10: ["header"]}
     assert [(j.line, j.next, j.left, j.right, j.mark) for j in joins] == [(2, 3, "chap", "ters", "-"), (3, 4, "half", "frame", "-"), (8, 11, "inven", "tory", "¬")]
 
 
+def test_furniture_on_pages_of_other_lines(furniture):
+    """Held-out pages: other lines, other seeds."""
+    rng = random.Random(99)
+    other = [["this morning the mill was closed", "and the miller went to town", "where he bought a new rope", "Songs From The Valley", "for the old bucket in the well"]] * 5
+    right = wrong = missed = 0
+    for _ in range(300):
+        made, marked = ocrlines.practice(other, rng)
+        (found,) = furniture.decide([made])
+        got = {i for i, k in found.items() if "pageno" in k}
+        right, wrong, missed = right + len(got & marked), wrong + len(got - marked), missed + len(marked - got)
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95
+
+
 @pytest.mark.parametrize(
     "line,value",
     [("17", 17), ("- 17 -", 17), ("— xvii —", 17), ("p. 17", 17), ("Page 17 of 20", 17), ("17 / 20", 17), ("[l7]", 17), ("17.", None), ("Total 155.00", None), ("238 / 245    PRIVATE CAPTIONS OF X", 238), ("PRIVATE CAPTIONS OF X    239 / 245", 239), ("see 17", None)],
@@ -72,9 +100,27 @@ def test_page_numbers(line, value):
     assert (p.value if p else None) == value
 
 
-def test_single_headings_stay():
-    assert ocrlines.furniture(["Sealed Posters Of Fenzore", "Some text goes on.", "and ends."]) == {}
-    assert ocrlines.furniture(["", " "]) == {}
+def test_single_headings_stay(furniture):
+    assert furniture.decide([["Sealed Posters Of Fenzore", "Some text goes on.", "and ends."], ["", " "], []]) == [{}, {}, {}]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rare_grams_lose_no_candidate(seed):
+    """A word and its correction share one of their rarest q-grams, whatever the order."""
+    rng = random.Random(seed)
+    order = lambda g: (zlib.crc32(g.encode()) * (seed + 1) % 997, g)
+    for _ in range(3000):
+        right = "".join(rng.choice("abcde") for _ in range(rng.randint(2, 12)))
+        i = rng.randrange(len(right))
+        j = min(len(right), i + rng.randint(1, 2))
+        word = right[:i] + "".join(rng.choice("abcde") for _ in range(max(1, j - i + rng.randint(-1, 1)))) + right[j:]
+        good, bad = ocrnoise.confusion(word, right)
+        if len(word) < 3 or len(right) < 3 or abs(len(word) - len(right)) > 1 or len(good) > 2 or len(bad) > 2:
+            continue
+        sides = []
+        for w, reach in ((word, 0), (right, 1)):
+            sides.append({f"{q}{g}" for q in ocrnoise.sizes_of(len(w), reach) for g in sorted(ocrnoise.numbered_grams(w, q), key=order)[: q + 2]})
+        assert sides[0] & sides[1], (word, right)
 
 
 def test_boosting_learns():

@@ -8,7 +8,7 @@ WORDS = "gathered restored telescope harbour lantern museum chapter inventory si
 
 
 def test_inside_ends_with_the_sentence_and_the_part():
-    inside = lambda text: [w.word for w in ocrlines.parse(text)[2] if w.inside]
+    inside = lambda text: [w.word for w in ocrlines.parse([text], {})[1] if w.inside]
     assert inside("they met in October. Thc harbour; then Berlin: All of it") == ["October", "Berlin"]
     assert inside("xvii  The harbour") == [] and inside("the Harbour") == ["Harbour"]
 

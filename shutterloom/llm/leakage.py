@@ -5,8 +5,9 @@ blocks of two words says how far the window may move, blocks that end a pattern
 bucket by suffix hash, and direct comparison confirms. A document without test words is passed in steps of
 span - 1 words.
 
-The items are taken in blocks of bounded size (``BLOCK_BYTES`` of text each), so what is broadcast is bounded
-whatever the size of the benchmark; documents are read once per block and never shuffled.
+The items are taken in blocks of bounded size (``BLOCK_BYTES`` of text each), one block at a time: its texts come to the
+driver, are broadcast, and are dropped before the next, so what is held is bounded whatever the size of the benchmark. A
+worker builds a block's tables once. Documents are read once per block and never shuffled.
 
 Defined cases: null, empty and short texts hold nothing; items shorter than the span have no pattern; a passage
 shared by two items counts for both; repeated rows count once; other columns are not read.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterloom.llm.texts import words
+from shutterloom.session import written
 
 SPAN = 10
 BLOCK_BYTES = 8 << 20
@@ -65,6 +67,13 @@ class WuManber:
         return found
 
 
+def _tables(shared, span: int) -> WuManber:
+    """The tables of a broadcast block, kept beside it in the worker for further tasks."""
+    if getattr(shared, "tables", None) is None:
+        shared.tables = WuManber(shared.value, span)
+    return shared.tables
+
+
 def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id of every document that holds ``span`` consecutive words of an item."""
     if span < 3:
@@ -77,7 +86,7 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, block_bytes:
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = WuManber(shared.value, span)
+            search = _tables(shared, span)
             for batch in batches:
                 pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in sorted(search.find(words(t)))]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([i for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
@@ -89,5 +98,8 @@ def leaks(documents: DataFrame, items: DataFrame, span: int = SPAN, block_bytes:
         part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
         found = texts.mapInArrow(scan(shared), "doc_id long, item_id long")
+        if blocks > 1:
+            found = written(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out.distinct()

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterloom.operators import catalog
+from shutterloom.operators import catalog, filters
 from shutterloom.session import exists
+from shutterloom.sources import files
 
 
 def sightings_stream(spark: SparkSession, folder: str, schema, per_trigger: int = 1000) -> DataFrame:
@@ -16,16 +17,26 @@ def sightings_stream(spark: SparkSession, folder: str, schema, per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
 
 
+def files_stream(spark: SparkSession, root: str, exclude: list[str] | None = None, per_trigger: int = 1000) -> DataFrame:
+    """Media files as they appear below a folder: path, source_modified_ns, source_size, and the parts of the header that a
+    probe reads (the whole file is one value, so this is for stills and clips; larger ones are listed by sources.files)."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(root)
+    path = F.regexp_replace("path", "^file:/*", "/")
+    rows = raw.select(path.alias("path"), (F.unix_micros("modificationTime") * 1000).alias("source_modified_ns"), F.col("length").alias("source_size"), "content")
+    return files.probe(rows.where(filters.is_media(F.col("path")) & ~filters.is_excluded(F.col("path"), exclude or [])))
+
+
 def ingest(stream: DataFrame, store: str, checkpoint: str, done: Callable[[DataFrame, int], None] | None = None):
     """Run everything available through the id-preserving upsert, one catalog snapshot per batch.
 
-    A batch writes version ``batch + 1`` from version ``batch``; a replayed batch overwrites its own version with the
+    The stream holds sightings (asset_id, path, ..., seen_at) or files (path, ...). A batch writes version ``batch + 1`` from version ``batch``; a replayed batch overwrites its own version with the
     same rows, so a failure neither loses nor repeats a file."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = f"{store.rstrip('/')}/v{number}"
-        found = catalog.current(batch).drop("seen_at").dropDuplicates(["path"])
+        found = catalog.current(batch).drop("seen_at") if "seen_at" in batch.columns else batch.withColumn("asset_id", F.lit(None).cast("long"))
+        found = found.dropDuplicates(["path"])
         if number:
             if not exists(spark, f"{before}/_SUCCESS"):
                 raise FileNotFoundError(f"batch {number} begins from a catalog that is not there: {before}")

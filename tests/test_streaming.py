@@ -1,4 +1,5 @@
 import datetime as dt
+import struct
 
 from pyspark.sql import functions as F
 
@@ -38,3 +39,15 @@ def test_windowed_rate(spark, tmp_path):
     q = ingest.windowed_rate(stream).writeStream.format("memory").queryName("rates").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("rates").agg(F.max("rate")).first()[0] == 1.0
+
+
+def test_files_are_ingested_as_they_appear(spark, tmp_path):
+    (tmp_path / "in" / ".cache").mkdir(parents=True)
+    png = b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + struct.pack(">II", 7, 5)
+    store, check = f"file://{tmp_path}/store", str(tmp_path / "check")
+    for n, names in enumerate((["b.png"], ["a.png", "note.txt", ".cache/c.png"])):
+        for name in names:
+            (tmp_path / "in" / name).write_bytes(png)
+        ingest.ingest(ingest.files_stream(spark, str(tmp_path / "in")), store, check).awaitTermination()
+    got = {r.path.rsplit("/", 1)[1]: (r.asset_id, r.width, r.source_size) for r in spark.read.parquet(f"{tmp_path}/store/v2").collect()}
+    assert got == {"b.png": (1, 7, 24), "a.png": (2, 7, 24)}

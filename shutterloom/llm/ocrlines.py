@@ -256,11 +256,14 @@ def _roman(n: int) -> str:
     return out
 
 
-def practice(contents: list[list[str]], rng: random.Random) -> tuple[list[str], set[int]]:
-    """A content put together from lines of others, with headings and page numbers set in, and the lines of its page numbers."""
+def sorted_lines(contents: list[list[str]]) -> tuple[list[str], list[str]]:
+    """Lines of text, and headings, of contents; page numbers are left out."""
     pool = [line for lines in contents for line in lines if line.strip() and not page_number(line)]
-    titles = [line.strip() for line in pool if is_heading(line)]
-    body = [line for line in pool if not is_heading(line)] or ["a line of text"]
+    return [line for line in pool if not is_heading(line)] or ["a line of text"], [line.strip() for line in pool if is_heading(line)]
+
+
+def practice(body: list[str], titles: list[str], rng: random.Random) -> tuple[list[str], set[int]]:
+    """A content put together from lines of others, with headings and page numbers set in, and the lines of its page numbers."""
     title = rng.choice(titles) if titles and rng.random() < 0.7 else " ".join(w.capitalize() for w in rng.choice(body).split()[:4])
     title = title.upper() if rng.random() < 0.4 else title
     pages, first = rng.choice([1, 1, 2, 2, 3, 4, 6]), rng.choice([1, 2, rng.randint(1, 40), rng.randint(1, 900)])
@@ -305,12 +308,13 @@ def train_furniture(contents: list[str], rounds: int = 5000, seed: int = 3) -> F
     rng = random.Random(seed)
     lines = [c.split("\n") for c in contents] or [["a line of text", "A Title"]]
     x, y = [], []
+    body, headers = sorted_lines(lines)
     for _ in range(rounds):
-        made, marked = practice(rng.sample(lines, min(len(lines), 5)), rng)
+        made, marked = practice(body, headers, rng)
         found = numbers(made)
         x += found.features
         y += [float(i in marked) for i in found.at]
-    titles = sorted({line.strip() for c in lines for line in c if is_heading(line)} | {"Plain Title", "Another One"})
+    titles = sorted({*headers, "Plain Title", "Another One"})
     u, v = [], []
     for _ in range(rounds):
         a, b = rng.choice(titles), rng.choice(titles)

@@ -84,7 +84,7 @@ def test_furniture_on_pages_of_other_lines(furniture):
     other = [["this morning the mill was closed", "and the miller went to town", "where he bought a new rope", "Songs From The Valley", "for the old bucket in the well"]] * 5
     right = wrong = missed = 0
     for _ in range(300):
-        made, marked = ocrlines.practice(other, rng)
+        made, marked = ocrlines.practice(*ocrlines.sorted_lines(other), rng)
         (found,) = furniture.decide([made])
         got = {i for i, k in found.items() if "pageno" in k}
         right, wrong, missed = right + len(got & marked), wrong + len(got - marked), missed + len(marked - got)

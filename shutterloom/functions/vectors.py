@@ -53,7 +53,8 @@ def distance_to(query: list[float]):
         return pa.array(out, mask=~np.isfinite(out))
 
     run.__annotations__ = {"column": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "double")
+    # else a filter on the distance is pushed below its projection, and the product is taken twice
+    return F.arrow_udf(run, "double").asNondeterministic()
 
 
 def combine(weighted: list[tuple[float, list[float]]]) -> list[float]:

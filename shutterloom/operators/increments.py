@@ -128,7 +128,8 @@ class Ledger:
     def adopt(self, done: DataFrame) -> str:
         """Take over what was processed before there was a ledger: done has lane and seq."""
         state, run = self._state(), uuid.uuid4().hex
-        merge(self._processed(state), intervals(done)).select("lane", "lo", "hi").write.parquet(f"{self.folder}/runs/{run}/intervals")
+        own = intervals(done)
+        (own if state["run"] is None else merge(self._processed(state), own)).select("lane", "lo", "hi").write.parquet(f"{self.folder}/runs/{run}/intervals")
         self._publish({"number": state["number"] + 1, "run": run, "outputs": state["outputs"]})
         return run
 

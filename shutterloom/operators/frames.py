@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from shutterloom.session import cut, written
 SAME_FRAME = 0.95
 #: Frames of a large asset that are compared with as many kept ones in one task.
 TILE = 8192
+#: Samples of small assets in a task, about.
+TASK = 32_768
 ROW_TOLERANCE = 10.0
 
 
@@ -23,34 +27,69 @@ def _directions(embeddings: pd.Series) -> np.ndarray:
     return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
 
 
+def greedy(v: np.ndarray, threshold: float, step: int = 256) -> np.ndarray:
+    """Positions of the rows (of length 1) that are below the threshold to every row kept before."""
+    kept: list[int] = []
+    for i in range(0, len(v), step):
+        part = v[i : i + step]
+        fresh = np.arange(len(part)) if not kept else np.flatnonzero((part @ v[kept].T < threshold).all(1))
+        like = part[fresh] @ part[fresh].T >= threshold
+        mine: list[int] = []
+        for k in range(len(fresh)):
+            if not like[k, mine].any():
+                mine.append(k)
+        kept += (fresh[mine] + i).tolist()
+    return np.array(kept, np.int64)
+
+
+def _kept_in(threshold: float):
+    """For a table of whole assets: the kept samples of each. Assets come together in a task, so small ones cost no call each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        lowest = np.iinfo(np.int64).min
+        asset, at, name = (pc.fill_null(table.column(c), lowest).to_numpy() for c in ("asset_id", "timestamp_ms", "embedding_id"))
+        order = np.lexsort((name, at, asset))
+        table, asset = table.take(pa.array(order)).combine_chunks(), asset[order]
+        starts = np.flatnonzero(np.r_[True, asset[1:] != asset[:-1]]) if len(asset) else np.zeros(0, np.int64)
+        lists = table.column("embedding").chunk(0) if table.num_rows else None
+        keep = []
+        for i, j in zip(starts, np.r_[starts[1:], len(asset)]):
+            if j - i == 1:
+                keep.append(np.array([i]))
+                continue
+            v = lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False).reshape(j - i, -1).astype(np.float64)
+            length = np.linalg.norm(v, axis=1, keepdims=True)
+            keep.append(greedy(np.divide(v, length, out=np.zeros_like(v), where=length > 0), threshold) + i)
+        return table.select(["asset_id", "embedding_id", "timestamp_ms"]).take(pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64)))
+
+    return run
+
+
 def distinct_frames(samples: DataFrame, threshold: float = SAME_FRAME, most: int = 100_000) -> DataFrame:
     """The samples of each asset that are, in time order, below the threshold to every one kept before.
 
-    A group is one asset's frames. An asset with more than ``most`` is taken in blocks of ``most`` in time order: what is
-    like a frame kept in an earlier block goes, in tiles, and the rest is a group; what it keeps is written."""
+    Assets are taken together, about ``TASK`` samples in a task. An asset with more than ``most`` is taken in blocks of
+    ``most`` in time order: what is like a frame kept in an earlier block goes, in tiles, and the rest is a group; what it
+    keeps is written."""
 
     def kept_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["timestamp_ms", "embedding_id"], na_position="first")
-        v = _directions(pdf["embedding"])
-        kept = np.zeros_like(v)
-        n, keep = 0, []
-        for i, row in enumerate(v):
-            if n == 0 or (kept[:n] @ row < threshold).all():
-                kept[n] = row
-                n += 1
-                keep.append(i)
-        return pdf.iloc[keep]
+        return pdf.iloc[greedy(_directions(pdf["embedding"]), threshold)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return kept_of(pdf)[["asset_id", "embedding_id", "timestamp_ms"]]
+    def together(rows: DataFrame) -> DataFrame:
+        tasks = max(1, -(-(total or 0) // TASK))
+        wanted = rows.select(*[F.col(c).cast("long").alias(c) for c in ("asset_id", "embedding_id", "timestamp_ms")], "embedding", F.pmod(F.xxhash64("asset_id"), F.lit(tasks)).alias("task"))
+        return wanted.groupBy("task").applyInArrow(_kept_in(threshold), out)
 
     out = "asset_id long, embedding_id long, timestamp_ms long"
-    sizes = cut(samples.groupBy(F.col("asset_id").alias("large")).agg(F.count("*").alias("size")).where(F.col("size") > most))
-    largest = sizes.agg(F.max("size")).first()[0]
-    if largest is None:
-        return samples.groupBy("asset_id").applyInPandas(run, out)
+    counts = samples.groupBy(F.col("asset_id").alias("large")).agg(F.count("*").alias("size"))
+    total, largest = counts.agg(F.sum("size"), F.max("size")).first()
+    if (largest or 0) <= most:
+        return together(samples)
+    sizes = cut(counts.where(F.col("size") > most))
     same = F.col("asset_id").eqNullSafe(F.col("large"))
-    result = samples.join(sizes, same, "left_anti").groupBy("asset_id").applyInPandas(run, out)
+    result = together(samples.join(sizes, same, "left_anti"))
     place = F.row_number().over(Window.partitionBy("asset_id").orderBy(F.asc_nulls_first("timestamp_ms"), F.asc_nulls_first("embedding_id"))) - 1
     ranked = samples.join(sizes, same, "left_semi").select("asset_id", "embedding_id", "timestamp_ms", "embedding", place.alias("place"))
     ranked = written(ranked.withColumns({"block": F.floor(F.col("place") / most).cast("int"), "tile": F.floor(F.col("place") / TILE).cast("int")}))

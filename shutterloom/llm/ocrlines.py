@@ -358,7 +358,8 @@ def parse(lines: list[str], found: dict[int, set[str]]) -> tuple[list[Join], lis
     cut_end: dict[int, int] = {}
     cut_start: dict[int, int] = {}
     for i, j in zip(body, body[1:]):
-        if (m := CUT.search(lines[i].rstrip("\r"))) and (h := HEAD.match(lines[j])):
+        tail = lines[i].rstrip("\r")
+        if (tail[-1:] in HYPHENS or tail[-2:-1] in HYPHENS) and (m := CUT.search(tail)) and (h := HEAD.match(lines[j])):
             joins.append(Join(i, j, m["left"], h["right"], lines[i].rstrip()[-1]))
             cut_end[i] = m.start()
             cut_start[j] = h.end()
@@ -372,5 +373,6 @@ def parse(lines: list[str], found: dict[int, set[str]]) -> tuple[list[Join], lis
             capital = w[0].isupper()
             words.append(Word(i, w, capital, capital and before_small and not BREAK.search(line, last, m.start())))
             before_small, last = w[0].islower(), m.end()
-        compounds += [c.lower() for c in COMPOUND.findall(line[start : max(start, end)])]
+        if "-" in line:
+            compounds += [c.lower() for c in COMPOUND.findall(line[start : max(start, end)])]
     return joins, words, compounds

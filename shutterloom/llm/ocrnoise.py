@@ -50,16 +50,26 @@ def parsed(texts: DataFrame, furniture: ocrlines.Furniture) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            parts, counts = [], []  # words, by far the most rows, are kept by column
             contents = [c.split("\n") for c in batch.column(1).to_pylist()]
             for asset, lines, found in zip(batch.column(0).to_pylist(), contents, furniture.decide(contents)):
                 joins, words, compounds = ocrlines.parse(lines, found)
                 rows += [(asset, "N", i + 1, None, name, None, None, 0, 0) for i, names in found.items() for name in names]
                 rows += [(asset, "J", j.line + 1, j.next + 1, j.left, j.right, j.mark, 0, 0) for j in joins]
-                rows += [(asset, "W", w.line + 1, None, w.word, None, None, int(w.capital), int(w.inside)) for w in words]
                 rows += [(asset, "C", 0, None, c, None, None, 0, 0) for c in compounds]
-            columns = list(zip(*rows)) if rows else [[]] * 9
+                parts += words
+                counts.append(len(words))
+            names = [f.split()[0] for f in PARSED.split(", ")]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in PARSED.split(", ")])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+            if parts:
+                n = len(parts)
+                line, word, capital, inside = zip(*parts)
+                asset = pa.array(np.repeat(batch.column(0).to_numpy(), counts))
+                columns = [asset, pa.repeat(pa.scalar("W"), n), pa.array(np.array(line, np.int32) + np.int32(1)), pa.nulls(n, pa.int32()), pa.array(word, pa.string()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
+                columns += [pa.array(np.array(c, np.int32)) for c in (capital, inside)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return texts.mapInArrow(run, PARSED)
 

@@ -125,7 +125,8 @@ def gram_counts(known: DataFrame) -> np.ndarray:
 
 def rarest(words: DataFrame, counts, reach: int) -> DataFrame:
     """words (word, ...) with gram: the q + 2 rarest q-grams of each. A change of one part of two characters spoils q + 1
-    q-grams at most, so a word and its correction share one of these."""
+    q-grams at most, so a word and its correction share one of these. A gram carries the length of the word that looks it
+    up; the other side has it for all lengths within ``reach`` of its own, so only words of fitting lengths meet."""
     columns = words.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,10 +134,11 @@ def rarest(words: DataFrame, counts, reach: int) -> DataFrame:
         for batch in batches:
             row, grams = [], []
             for i, word in enumerate(batch.column(0).to_pylist()):
-                for q in sizes_of(len(word), reach):
-                    ordered = sorted(numbered_grams(word, q), key=lambda g: (count[_slot(g)], g))[: q + 2]
-                    row += [i] * len(ordered)
-                    grams += [f"{q}{g}" for g in ordered]
+                ordered = {q: sorted(numbered_grams(word, q), key=lambda g: (count[_slot(g)], g))[: q + 2] for q in sizes_of(len(word), reach)}
+                for length in range(len(word) - reach, len(word) + reach + 1):
+                    mine = ordered[sizes_of(length)[0]]
+                    row += [i] * len(mine)
+                    grams += [f"{length}:{g}" for g in mine]
             out = batch.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(grams, pa.string())], names=[*columns, "gram"])
 
@@ -167,7 +169,7 @@ def candidates(words: DataFrame, known: DataFrame) -> DataFrame:
     query = rarest(words.where(readable).select("word", "n", "capital", "inside"), counts, 0)
     index = rarest(trusted.select("word", "n", (F.col("inside") / F.col("n")).alias("named")), counts, 1)
     index = index.withColumnsRenamed({"word": "right", "n": "m"})
-    near = (F.abs(F.length("word") - F.length("right")) <= 1) & (F.col("m") >= MARGIN * F.greatest("n", F.lit(1))) & (F.col("word") != F.col("right"))
+    near = (F.col("m") >= MARGIN * F.greatest("n", F.lit(1))) & (F.col("word") != F.col("right"))
     pairs = query.join(index, "gram").where(near)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

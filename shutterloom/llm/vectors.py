@@ -16,7 +16,8 @@ floats are sent to the buckets instead, where they are compared exactly, so that
 
 Rows have the columns space, id, embedding: any number of collections go through one plan. A vector is usable if it is
 not null, has its space's width, only finite numbers and not only zeros; others are left out, repeated rows count once,
-of different vectors under one id the one with the smallest 64-bit hash holds. Vectors with one hash are copies.
+of different vectors under one id the one with the smallest 64-bit hash holds, rows without an id or space are left out. Vectors with
+one hash are copies.
 """
 
 from __future__ import annotations
@@ -387,6 +388,7 @@ class Groups(NamedTuple):
 
 def similar_groups(rows: DataFrame, widths: dict[str, int], cosine: float) -> Groups:
     """The groups of vectors that may be similar. Vectors alone in their group, without a copy, are left out."""
+    rows = rows.where(F.col("id").isNotNull())
     plans = plans_for(rows, widths, cosine)
     every = written(encoded(rows, plans))
     owners = every.groupBy("place", "id").agg(F.min(F.struct("v", "node")).alias("o")).select("place", "id", "o.v", "o.node")

@@ -24,7 +24,7 @@ def _data(seed=3, clusters=25, loose=120):
     rows += [(k + i, same) for i in range(11)]  # more equal vectors than a list is long
     k += 11
     bad = [None, [1.0], [0.0] * WIDTH, [float("nan")] * WIDTH, [float("inf")] + [0.0] * (WIDTH - 1), []]
-    return rows + rows[:5] + [(k + i, b) for i, b in enumerate(bad)], rows
+    return rows + rows[:5] + [(k + i, b) for i, b in enumerate(bad)] + [(None, rows[0][1]), (None, None)], rows
 
 
 def _frame(spark, rows):

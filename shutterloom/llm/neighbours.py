@@ -92,8 +92,12 @@ def nearest(rows: DataFrame, widths: dict[str, int], k: int = 5, least: float =
     best = vectors.tasks(small, total or 0).groupBy("task").applyInArrow(run("label"), PAIRS)
     if (largest or 0) > vectors.TILE:
         large = members.where(F.col("size") > vectors.TILE)
-        met = vectors.in_buckets(rows, large.drop("ids"), groups).join(large.select("place", "v", "ids"), ["place", "v"])
-        found = met.select("place", "v", "rep", "ids", "embedding", "bucket").groupBy("bucket").applyInArrow(run("bucket"), PAIRS).distinct()
+        lists = large.select("place", "v", "ids")
+
+        def nearest_met(met: DataFrame) -> DataFrame:
+            return met.join(lists, ["place", "v"]).select("place", "v", "rep", "ids", "embedding", "bucket").groupBy("bucket").applyInArrow(run("bucket"), PAIRS)
+
+        found = vectors.in_buckets(rows, large.drop("ids"), groups, nearest_met)
         rank = F.row_number().over(Window.partitionBy("place", "id").orderBy(F.desc("sim"), "other"))
         best = best.unionByName(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"))
     if spare is None:

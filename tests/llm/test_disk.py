@@ -6,7 +6,7 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import functions as F
 
-from shutterloom.llm import density, neighbours, vectors
+from shutterloom.llm import density, nearcopies, neighbours, vectors
 from shutterloom.session import cut, discard, written
 
 
@@ -72,3 +72,41 @@ def test_passes_give_the_same_rows(spark, monkeypatch):
             m.setattr(vectors, "LEAST_PASS", 1)
             m.setattr(vectors, "PACK", 64)
             assert rows() == one and len(one[0]) > 100
+
+
+def test_passes_give_the_same_copies(spark, monkeypatch):
+    """Passes, blocks, tiles and the sample of the plan leave the pairs as they are; a pass has a bounded number of bytes."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 9)) for _ in range(90)]
+    texts += [t[: k % 30] + "x" + t[k % 30 + 1 :] for k, t in enumerate(texts)]
+    frame = cut(spark.createDataFrame(list(enumerate(texts)), "id long, content string"))
+    plans = []
+
+    def pairs():
+        return sorted(map(tuple, nearcopies.near_copies(frame, 3).collect()))
+
+    sets = [{t[i : i + 3] for i in range(len(t) - 2)} for t in (t.replace(" ", "") for t in texts)]
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if nearcopies.exact(sets[i], sets[j]) >= 0.6]
+    assert pairs() == want and len(want) >= 80
+    sizes, postings = [], nearcopies._postings
+
+    def measured(*args):
+        out = postings(*args)
+        sizes.append(out.agg(F.sum(F.length("sig") + F.length("grams") + F.length("places") + F.length("sides") + nearcopies.ROW)).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(nearcopies, "_postings", measured)
+    for name, value in (("LEAST_PASS", 25_000), ("PASS_SHARE", 0), ("BLOCK_BYTES", 12_000), ("SAMPLE", 50), ("TILE", 16)):
+        monkeypatch.setattr(nearcopies, name, value)
+    assert pairs() == want and max(sizes) < 50_000 < sum(sizes)
+
+
+def test_orders_of_ngrams():
+    rng = np.random.default_rng(4)
+    row, c = np.sort(rng.integers(0, 300, 5000)), rng.integers(0, 9, 5000)
+    c[:3] = np.iinfo(np.int32).max
+    assert (nearcopies._by_count(row, c) == np.lexsort((c, row))).all()
+    assert (nearcopies._by_count(row << 20, c) == np.lexsort((c, row))).all()
+    rows, h = nearcopies.grams_of(["banana", "", "abc", "bananas"], 3)
+    assert rows.tolist() == [0] * 3 + [2] + [3] * 4 and all((h[rows == k][1:] > h[rows == k][:-1]).all() for k in range(4))
